@@ -40,7 +40,7 @@ def tenths(percent: str) -> str:
 
 
 def mean_of_tenths(total: str, rows: str) -> str:
-    return f"try_divide(cast({total} as double), cast({rows} as double)) / 10D"
+    return f"try_divide(cast({total} as double), {rows} * 10D)"
 
 
 def matches(column: str, value: str, weight: str = "1") -> str:

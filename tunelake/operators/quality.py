@@ -1,73 +1,74 @@
 """Data tests. A test is a query for failing rows; it passes when there are none.
 
-Each function returns (column, test, n_failed) rows, so a whole suite is a union of frames.
+The ``*_failures`` functions return those rows, :func:`outcome` counts them, and :func:`not_null`
+counts the NULLs of many columns in one pass.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.operators.lookups import orphans
 
 
-def _result(df: DataFrame, column: str, test: str, failed: Column) -> DataFrame:
-    return df.agg(failed.alias("n_failed")).select(
-        F.lit(column).alias("column"), F.lit(test).alias("test"), "n_failed"
-    )
-
+def null_failures(df: DataFrame, column: str) -> DataFrame:
+    return df.where(F.col(column).isNull())
 
-def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with a NULL, for all columns in one pass over the frame."""
-    counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))
-    pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return counts.select(F.expr(f"stack({len(columns)}, {pairs}) as (column, n_failed)")).select(
-        "column", F.lit("not_null").alias("test"), "n_failed"
-    )
 
+def duplicate_failures(df: DataFrame, column: str) -> DataFrame:
+    """Values that occur more than once, with their number; NULLs are ignored."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.expr("count(*) as n_rows"))
+    return counts.where("n_rows > 1")
 
-def unique(df: DataFrame, column: str) -> DataFrame:
-    """Values that occur more than once; NULLs are ignored."""
-    copies = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return _result(copies.where("n > 1"), column, "unique", F.count("*"))
 
+def value_failures(df: DataFrame, column: str, accepted: list[str]) -> DataFrame:
+    """Values outside the list, with their number; NULLs are ignored."""
+    strange = df.where(~F.col(column).isin(accepted))
+    return strange.groupBy(column).agg(F.expr("count(*) as n_rows"))
 
-def accepted_values(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """Distinct values outside the list; NULLs are ignored."""
-    strange = df.where(~F.col(column).isin(values)).select(column).distinct()
-    return _result(strange, column, "accepted_values", F.count("*"))
 
+def orphan_failures(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
+    """Keys without a parent row, with their number of child rows; NULLs are ignored."""
+    return orphans(child, parent, column, field)
 
-def relationships(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
-    """Child rows whose non-NULL key has no parent."""
-    stray = orphans(child, parent, column, field)
-    return _result(stray, column, "relationships", F.coalesce(F.sum("n_rows"), F.lit(0)))
 
-
-def in_range(df: DataFrame, column: str, low: float, high: float, test: str) -> DataFrame:
+def range_failures(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows outside [low, high]; NULLs are ignored."""
-    outside = df.where((F.col(column) < low) | (F.col(column) > high))
-    return _result(outside, column, test, F.count("*"))
+    return df.where(f"{column} < {low} or {column} > {high}")
 
 
-def group_sum_between(
-    df: DataFrame, group: str, column: str, low: float, high: float, test: str
+def group_sum_failures(
+    df: DataFrame, group: str, column: str, low: float, high: float
 ) -> DataFrame:
     """Groups whose total, rounded to a whole number, is outside [low, high]."""
-    totals = df.groupBy(group).agg(F.round(F.sum(column), 0).alias("total"))
-    return _result(totals.where(~F.col("total").between(low, high)), column, test, F.count("*"))
+    totals = df.groupBy(group).agg(F.expr(f"round(sum({column}), 0) as total"))
+    return totals.where(f"total not between {low} and {high}")
+
+
+def outcome(failures: DataFrame, column: str, test: str, count: str = "count(*)") -> DataFrame:
+    """One row (column, test, n_failed)."""
+    return failures.agg(F.expr(f"cast(coalesce({count}, 0) as bigint) as n_failed")).selectExpr(
+        f"'{column}' as column", f"'{test}' as test", "n_failed"
+    )
+
+
+def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (column, test, n_failed) per column, from a single pass over the frame."""
+    counts = df.agg(*(F.expr(f"count_if({c} is null) as {c}") for c in columns))
+    pairs = ", ".join(f"'{c}', {c}" for c in columns)
+    return counts.selectExpr(f"stack({len(columns)}, {pairs}) as (column, n_failed)").selectExpr(
+        "column", "'not_null' as test", "n_failed"
+    )
 
 
 def suite(results: dict[str, list[DataFrame]]) -> DataFrame:
     """All results as (model, column, test, n_failed, passed)."""
     frames = [
-        frame.withColumn("model", F.lit(model))
+        frame.selectExpr(f"'{model}' as model", "*", "n_failed = 0 as passed")
         for model, frames in results.items()
         for frame in frames
     ]
-    return reduce(DataFrame.unionByName, frames).select(
-        "model", "column", "test", F.col("n_failed").cast("long").alias("n_failed"),
-        (F.col("n_failed") == 0).alias("passed"),
-    )
+    return reduce(DataFrame.unionByName, frames)

@@ -13,7 +13,8 @@ def top_per_group(
     ``tiebreak`` (NULL last), so the cut is the same on every run. Spark cuts each task's rows to
     ``k`` per group before the shuffle."""
     order = f"partition by {group} order by {by} desc, {tiebreak} asc nulls last"
-    return df.selectExpr("*", f"row_number() over ({order}) as {rank}").where(f"{rank} <= {k}")
+    top = df.selectExpr("*", f"row_number() over ({order}) as {rank}").where(f"{rank} <= {k}")
+    return top.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def most_frequent(counts: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

@@ -182,7 +182,7 @@ def genre_trends(
     of_day = m.rate_pct("stream_count", "sum(stream_count) over (partition by event_date)")
     rank = "rank() over (partition by event_date order by stream_count desc)"
     return per_genre.selectExpr(
-        "*", f"{of_day} as pct_of_daily_streams", f"{rank} as daily_rank"
+        "*", f"{of_day} as pct_of_daily_streams", f"cast({rank} as bigint) as daily_rank"
     ).orderBy(F.desc("event_date"), F.asc("daily_rank"))
 
 
