@@ -89,7 +89,8 @@ def stream_events(events: DataFrame) -> DataFrame:
         events, "value", EVENT_DURATION_MS,
         event_id="event_id",
         user_id="user_id",
-        track_id="cast(get_json_object(props, '$.k') as bigint)",
+        # props is {"k": n}; a pattern reads it several times faster than a JSON parser.
+        track_id="""try_cast(regexp_extract(props, '"k" *: *([0-9]+)', 1) as bigint)""",
         started_at="ts",
         device_type=_pick(DEVICE_TYPES, "event_id"),
         platform=_translate("event_type", EVENT_PLATFORM),

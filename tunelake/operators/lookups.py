@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunelake.session import checkpoint_root
+
 HOT_SHARE = 20_000
 MAX_STRAYS = 200_000
 
@@ -94,13 +96,15 @@ def known_key(fact: DataFrame, dim: DataFrame, key: str, spread: str) -> DataFra
     """``fact`` with ``key`` set to NULL where ``dim`` has no such row.
 
     With a dimension too large to broadcast, it first finds the fact's orphan keys: usually none,
-    as the data tests ask for, and then the fact needs no join. A few are broadcast after their
-    number has been checked (one job); only beyond ``MAX_STRAYS`` does the fact shuffle.
+    as the data tests ask for, and then the fact needs no join. A few are checkpointed and, their
+    number being checked, broadcast; only beyond ``MAX_STRAYS`` does the fact shuffle.
     """
     keys = dim.select(key)
     if not fits_broadcast(keys):
+        checkpoint_root(fact.sparkSession)
         strays = orphans(fact, dim, key, key).selectExpr(f"{key} as __stray")
-        n_strays = strays.limit(MAX_STRAYS + 1).count()
+        strays = strays.limit(MAX_STRAYS + 1).checkpoint()
+        n_strays = strays.count()
         if n_strays == 0:
             return fact
         if n_strays <= MAX_STRAYS:

@@ -191,19 +191,24 @@ def user_activity(
 ) -> DataFrame:
     """One row per user, with zeros for a user who never listened.
 
-    Two reductions of the events serve everything: by the user's day, platform and device, and by
-    the user's track.
+    The events are reduced by the user's day, by the user's track, and by the user's platforms and
+    devices. Each is counted in a shuffle on all its keys, so even the busiest user's events are
+    spread over tasks.
     """
-    sittings = events.groupBy("user_id", "event_date", "platform", "device_type").agg(
-        *_exprs(ADDITIVE)
-    )
+    days = events.groupBy("user_id", "event_date").agg(*_exprs(ADDITIVE))
     plays = events.groupBy("user_id", "track_id").agg(F.expr("count(*) as n"))
     songs = catalog(tracks, artists).select("track_id", "artist_id", "genre")
     heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=events)
 
-    volume = sittings.groupBy("user_id").agg(*_exprs([
+    performers = heard.groupBy("user_id", "artist_id").agg(*_exprs([
+        "count(track_id) as tracks",
+        "cast(artist_id is not null as int) as artists",
+    ])).drop("artist_id")
+    totals = _stack(days, performers).groupBy("user_id").agg(*_exprs([
         "sum(streams) as total_streams",
-        "count(distinct event_date) as active_days",
+        "sum(tracks) as unique_tracks",
+        "sum(artists) as unique_artists",
+        "count(event_date) as active_days",
         f"{m.hours('sum(ms)')} as total_listening_hours",
         AVG_PCT,
         COMPLETION_RATE,
@@ -213,18 +218,13 @@ def user_activity(
         "sum(shuffles) as shuffle_streams",
         "sum(offlines) as offline_streams",
     ]))
-    breadth = heard.groupBy("user_id").agg(*_exprs([
-        "count(track_id) as unique_tracks",
-        "count(distinct artist_id) as unique_artists",
-    ]))
 
     def or_zero(column: str) -> str:
         return f"coalesce({column}, 0) as {column}"
 
     return (
-        users.join(volume, "user_id", "left")
-        .join(breadth, "user_id", "left")
-        .join(favourites(sittings, heard), "user_id", "left")
+        users.join(totals, "user_id", "left")
+        .join(favourites(events, heard), "user_id", "left")
         .selectExpr(
             "user_id", "username", "country", "subscription_type", "age_group", "joined_date",
             or_zero("total_streams"), or_zero("unique_tracks"), or_zero("unique_artists"),
@@ -236,12 +236,13 @@ def user_activity(
     )
 
 
-def favourites(sittings: DataFrame, heard: DataFrame) -> DataFrame:
-    """Each user's most frequent genre, platform and device, from counted rows."""
-    counts = (
-        heard.selectExpr("user_id", "'genre' as kind", "genre as value", "n")
-        .union(sittings.selectExpr("user_id", "'platform'", "platform", "streams"))
-        .union(sittings.selectExpr("user_id", "'device'", "device_type", "streams"))
+def favourites(events: DataFrame, heard: DataFrame) -> DataFrame:
+    """Each user's most frequent genre, platform and device."""
+    counts = heard.selectExpr("user_id", "'genre' as kind", "genre as value", "n").union(
+        events.selectExpr(
+            "user_id", "stack(2, 'platform', platform, 'device', device_type) as (kind, value)",
+            "1L as n",
+        )
     )
     return most_frequent(counts, "user_id", {
         "genre": "top_genre", "platform": "preferred_platform", "device": "preferred_device",
