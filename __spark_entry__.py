@@ -48,39 +48,47 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # --- models ---------------------------------------------------------------------------------
 
 
+MART_TABLES = ("stream_events", "tracks", "artists", "users")
+
+
 def _staged(model: str) -> Query:
-    return lambda spark, sf: mapping.staged(spark, sf)[model]
+    table = model.removeprefix("stg_")
+    return lambda spark, sf: mapping.staged(spark, sf, table)[model]
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.staged(spark, sf, EVENTS)["stg_stream_events"]
 
 
 def enriched_events(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.enriched(mapping.staged(spark, sf))
+    return jobs.enriched(mapping.staged(spark, sf, *MART_TABLES))
 
 
 def enriched_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.enriched(mapping.staged_lines(spark, sf))
+    return jobs.enriched(mapping.staged_lines(spark, sf, *MART_TABLES))
 
 
 def _mart(build: Callable[..., DataFrame], lines: bool = False) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        staged = (mapping.staged_lines if lines else mapping.staged)(spark, sf)
+        staged = (mapping.staged_lines if lines else mapping.staged)(spark, sf, *MART_TABLES)
         return _rounded(build(*_inputs(staged)), "avg_pct_played")
     return run
 
 
 def daily_pivots(spark: SparkSession, sf: str) -> DataFrame:
-    daily = marts.daily_listening_stats(*_inputs(mapping.staged(spark, sf)))
+    daily = marts.daily_listening_stats(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return daily.select(
         "event_date", "total_streams", *(c for c in daily.columns if c.startswith("streams_"))
     )
 
 
 def user_modes(spark: SparkSession, sf: str) -> DataFrame:
-    activity = marts.user_activity(*_inputs(mapping.staged(spark, sf)))
+    activity = marts.user_activity(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return activity.select("user_id", "top_genre", "preferred_platform", "preferred_device")
 
 
 def inactive_users(spark: SparkSession, sf: str) -> DataFrame:
-    activity = marts.user_activity(*_inputs(mapping.staged(spark, sf)))
+    activity = marts.user_activity(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return activity.where("total_streams = 0").select(
         "user_id", "username", "total_streams", "total_listening_hours", "first_stream_date"
     )
@@ -112,7 +120,7 @@ def snowflake_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _volume(spark: SparkSession, sf: str) -> DataFrame:
-    return marts.daily_volume(mapping.staged(spark, sf)["stg_stream_events"])
+    return marts.daily_volume(_events(spark, sf))
 
 
 def _order_volume(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,7 +133,7 @@ def weekend_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evening_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.evening_ratio(mapping.staged(spark, sf)["stg_stream_events"])
+    return patterns.evening_ratio(_events(spark, sf))
 
 
 def seasonal_ratio(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,28 +142,28 @@ def seasonal_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pareto_users(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.pareto_users(mapping.staged(spark, sf)["stg_stream_events"])
+    return patterns.pareto_users(_events(spark, sf))
 
 
 def pareto_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.pareto_tracks(mapping.staged(spark, sf)["stg_stream_events"])
+    return patterns.pareto_tracks(_events(spark, sf))
 
 
 def pareto_artists(spark: SparkSession, sf: str) -> DataFrame:
-    staged = mapping.staged(spark, sf)
+    staged = mapping.staged(spark, sf, EVENTS, "tracks")
     return patterns.pareto_artists(staged["stg_stream_events"], staged["stg_tracks"])
 
 
 def pareto_users_l(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.pareto_users(mapping.staged_lines(spark, sf)["stg_stream_events"])
+    return patterns.pareto_users(mapping.staged_lines(spark, sf, EVENTS)["stg_stream_events"])
 
 
 def pareto_tracks_l(spark: SparkSession, sf: str) -> DataFrame:
-    return patterns.pareto_tracks(mapping.staged_lines(spark, sf)["stg_stream_events"])
+    return patterns.pareto_tracks(mapping.staged_lines(spark, sf, EVENTS)["stg_stream_events"])
 
 
 def pattern_summary(spark: SparkSession, sf: str) -> DataFrame:
-    staged = mapping.staged(spark, sf)
+    staged = mapping.staged(spark, sf, EVENTS, "tracks")
     return patterns.pattern_summary(staged["stg_stream_events"], staged["stg_tracks"])
 
 
@@ -183,7 +191,11 @@ def _tests(suite: Callable[[dict[str, DataFrame]], DataFrame], *models: str) ->
 
 def _raw(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The raw tables with exactly the stored types."""
-    return {t: landing.typed(df, t) for t, df in mapping.raw_tables(spark, sf).items()}
+    return {t: _raw_table(spark, sf, t) for t in RAW}
+
+
+def _raw_table(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return landing.typed(mapping.raw_table(spark, sf, table), table)
 
 
 def _store(spark: SparkSession, label: str, *tables: str) -> Store:
@@ -202,13 +214,13 @@ def _longer(events: DataFrame) -> DataFrame:
 
 def _first_and_second(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two loads that overlap: to 20 January, and from 11 January on with other values."""
-    events = _raw(spark, sf)[EVENTS]
+    events = _raw_table(spark, sf, EVENTS)
     first = events_between(events, JANUARY[0], date(2024, 1, 20))
     return first, _longer(events_between(events, date(2024, 1, 11), JANUARY[1]))
 
 
 def replace_load(spark: SparkSession, sf: str) -> DataFrame:
-    store, tracks = _store(spark, "replace", "tracks"), _raw(spark, sf)["tracks"]
+    store, tracks = _store(spark, "replace", "tracks"), _raw_table(spark, sf, "tracks")
     store.replace("raw", "tracks", tracks.withColumn("title", F.lit("old")))
     store.replace("raw", "tracks", tracks)
     return _table(store, "tracks")
@@ -217,7 +229,7 @@ def replace_load(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_replace(spark: SparkSession, sf: str) -> DataFrame:
     """Users in debt change to ``free``, and each rich one brings a new user."""
     store = _store(spark, "upsert", "users")
-    users = _raw(spark, sf)["users"]
+    users = _raw_table(spark, sf, "users")
     balance = mapping.table(spark, sf, "customer").selectExpr(
         "cast(c_custkey as string) as user_id", "c_acctbal"
     )
@@ -247,27 +259,27 @@ def merge_events(spark: SparkSession, sf: str) -> DataFrame:
     return _table(store, EVENTS)
 
 
-def _land(spark: SparkSession, sf: str, label: str) -> str:
-    """Land the raw tables as JSON pages of at most 500 records."""
-    raw, path = mapping.raw_tables(spark, sf), scratch_path(spark, label)
+def _land(spark: SparkSession, sf: str, *tables: str) -> str:
+    """Land the raw tables, or those named, as JSON pages of at most 500 records."""
+    path = scratch_path(spark, "landing")
     pages = {
         "artists": "popularity_rank div 500", "albums": "datediff(release_date, '2000-01-01')",
-        "tracks": "popularity_rank div 500", "users": "popularity_rank div 500",
-        EVENTS: "event_id div 500",
+        "tracks": "track_id div 500", "users": "user_id div 500", EVENTS: "event_id div 500",
     }
-    for table, df in raw.items():
+    for table in tables or RAW:
+        df = mapping.raw_table(spark, sf, table)
         landing.write_pages(df, f"{path}/{table}", pages[table], 500)
     return path
 
 
 def landing_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = _land(spark, sf, "landing")
+    path = _land(spark, sf, "tracks")
     return landing.read_pages(spark, f"{path}/tracks", "tracks").drop("_dlt_load_id", "_dlt_id")
 
 
 def daily_load(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "load")
-    jobs.daily_load(store, _land(spark, sf, "landing"), "2024-01-01", today=date(2024, 1, 31))
+    jobs.daily_load(store, _land(spark, sf), "2024-01-01", today=date(2024, 1, 31))
     return _table(store, EVENTS)
 
 
@@ -289,7 +301,7 @@ def built_daily_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_range_scan(spark: SparkSession, sf: str) -> DataFrame:
-    events = mapping.raw_tables(spark, sf)[EVENTS]
+    events = mapping.raw_table(spark, sf, EVENTS)
     return events_between(events, date(2024, 1, 10), date(2024, 1, 16)).select(
         "event_id", "user_id", "track_id", "started_at", "ms_played"
     )
@@ -303,7 +315,7 @@ def row_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession, sf: str) -> DataFrame:
-    events = mapping.staged(spark, sf)["stg_stream_events"]
+    events = _events(spark, sf)
     day, number = F.col("event_date"), F.col("event_id")
     return events.select(
         "event_id",
@@ -314,7 +326,7 @@ def surrogate_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completion_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return mapping.raw_tables(spark, sf)[EVENTS].select(
+    return mapping.raw_table(spark, sf, EVENTS).select(
         "event_id", "ms_played", "track_duration_ms", "completed", "skipped"
     )
 
@@ -328,19 +340,19 @@ def calendar_expected_volume_l(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def last_n_days(spark: SparkSession, sf: str) -> DataFrame:
-    daily = marts.daily_listening_stats(*_inputs(mapping.staged(spark, sf)))
+    daily = marts.daily_listening_stats(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return _rounded(reports.last_days(daily, 7), "avg_pct_played")
 
 
 def top_tracks_yesterday(spark: SparkSession, sf: str) -> DataFrame:
-    top = marts.top_tracks_daily(*_inputs(mapping.staged(spark, sf)))
+    top = marts.top_tracks_daily(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return _rounded(
         reports.top_tracks_of_yesterday(top, 10, as_of=date(2024, 1, 21)), "avg_pct_played"
     )
 
 
 def genres_yesterday(spark: SparkSession, sf: str) -> DataFrame:
-    genres = marts.genre_trends(*_inputs(mapping.staged(spark, sf)))
+    genres = marts.genre_trends(*_inputs(mapping.staged(spark, sf, *MART_TABLES)))
     return _rounded(reports.genres_of_yesterday(genres, as_of=date(2024, 1, 21)), "avg_pct_played")
 
 
@@ -365,9 +377,9 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed pages arrive in several batches and are merged into the event table."""
-    store = _store(spark, "stream")
-    pages = landing.stream_pages(spark, f"{_land(spark, sf, 'landing')}/{EVENTS}", EVENTS, 4)
+    """Landed pages are read as a stream and merged into the event table."""
+    store = _store(spark, "stream", EVENTS)
+    pages = landing.stream_pages(spark, f"{_land(spark, sf, EVENTS)}/{EVENTS}", EVENTS)
     ingest.merge_stream(pages, store, f"{store.root}/checkpoint").awaitTermination()
     return _table(store, EVENTS)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunelake.functions.measures import completed, skipped
+from tunelake.operators.lookups import lookup
 from tunelake.plans.staging import stage
 from tunelake.schemas import AGE_GROUPS, DEVICE_TYPES
 
@@ -102,9 +103,13 @@ def stream_events(events: DataFrame) -> DataFrame:
 def line_events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """``lineitem`` with its order as the raw event table: quantity is seconds of a 50-second
     track. Line keys repeat in the data, so this fact has no usable primary key."""
-    lines = lineitem.join(orders, F.expr("l_orderkey = o_orderkey"))
+    order = orders.selectExpr("o_orderkey as l_orderkey", "o_custkey", "o_orderdate")
+    lines = lookup(
+        lineitem, order, "l_orderkey",
+        spread="l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate",
+    )
     return _plays(
-        lines, "l_quantity", LINE_DURATION_MS,
+        lines.where("l_orderkey is not null"), "l_quantity", LINE_DURATION_MS,
         event_id="concat_ws('-', l_orderkey, l_linenumber)",
         user_id="o_custkey",
         track_id="l_partkey",
@@ -125,7 +130,7 @@ def users(customer: DataFrame) -> DataFrame:
         f"{_translate('c_mktsegment', SEGMENT_SUBSCRIPTION)} as subscription_type",
         f"{_pick(AGE_GROUPS, 'c_custkey')} as age_group",
         "date_add(date'2023-01-01', cast(c_custkey % 365 as int)) as joined_at",
-        "cast(c_custkey + 1 as int) as popularity_rank",
+        "cast(c_custkey % 1000000 + 1 as int) as popularity_rank",
     )
 
 
@@ -141,7 +146,7 @@ def tracks(part: DataFrame) -> DataFrame:
         "p_partkey % 7 = 0 as explicit",
         "p_size + 60 as tempo_bpm",
         "p_size / 50D as energy_score",
-        "cast(p_partkey + 1 as int) as popularity_rank",
+        "cast(p_partkey % 1000000 + 1 as int) as popularity_rank",
     )
 
 
@@ -172,27 +177,33 @@ def albums(part: DataFrame) -> DataFrame:
     )
 
 
+RAW_TABLES = {
+    "artists": (artists, ["part"]),
+    "albums": (albums, ["part"]),
+    "tracks": (tracks, ["part"]),
+    "users": (users, ["customer"]),
+    "stream_events": (stream_events, ["events"]),
+}
+
+
+def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    build, sources = RAW_TABLES[name]
+    return build(*(table(spark, sf_dir, source) for source in sources))
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The five raw tables, with ``events`` as the event fact."""
-    part = table(spark, sf_dir, "part")
-    return {
-        "artists": artists(part),
-        "albums": albums(part),
-        "tracks": tracks(part),
-        "users": users(table(spark, sf_dir, "customer")),
-        "stream_events": stream_events(table(spark, sf_dir, "events")),
-    }
+    return {name: raw_table(spark, sf_dir, name) for name in RAW_TABLES}
 
 
-def staged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Staged models over :func:`raw_tables`."""
-    return stage(raw_tables(spark, sf_dir))
+def staged(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Staged models over the raw tables, or over the named ones."""
+    return stage({name: raw_table(spark, sf_dir, name) for name in names or RAW_TABLES})
 
 
-def staged_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def staged_lines(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """Staged models with ``lineitem`` as the event fact."""
-    raw = raw_tables(spark, sf_dir)
-    raw["stream_events"] = line_events(
-        table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    )
-    return stage(raw)
+    lines = line_events(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    others = [name for name in names or RAW_TABLES if name != "stream_events"]
+    raw = {name: raw_table(spark, sf_dir, name) for name in others}
+    return stage(raw | {"stream_events": lines})

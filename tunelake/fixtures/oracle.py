@@ -49,7 +49,7 @@ RAW = {
                CAST(2000 + p_partkey % 26 AS INTEGER) AS release_year,
                p_partkey % 7 = 0 AS explicit, p_size + 60 AS tempo_bpm,
                p_size / 50.0::DOUBLE AS energy_score,
-               CAST(p_partkey + 1 AS INTEGER) AS popularity_rank
+               CAST(p_partkey % 1000000 + 1 AS INTEGER) AS popularity_rank
         FROM part""",
     "raw_users": f"""
         SELECT c_custkey AS user_id, c_name AS username,
@@ -57,7 +57,7 @@ RAW = {
                {_names('c_mktsegment', SEGMENT_SUBSCRIPTION)} AS subscription_type,
                {_pick(AGE_GROUPS, 'c_custkey')} AS age_group,
                DATE '2023-01-01' + CAST(c_custkey % 365 AS INTEGER) AS joined_at,
-               CAST(c_custkey + 1 AS INTEGER) AS popularity_rank
+               CAST(c_custkey % 1000000 + 1 AS INTEGER) AS popularity_rank
         FROM customer""",
     "raw_stream_events": f"""
         SELECT *, ms_played >= track_duration_ms * 0.8::DOUBLE AS completed,

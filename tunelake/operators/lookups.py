@@ -48,8 +48,8 @@ def lookup(
     """``fact LEFT JOIN dim USING key``, with the key column taken from ``dim``: it is NULL where
     the dimension has no such row. ``key`` must be unique in ``dim``.
 
-    ``spread`` names a column that varies among the fact's rows of one key; it is used to salt hot
-    keys. Leave it out for a fact already reduced to few rows per key. Which keys are hot is
+    ``spread`` names a column, or several with commas, that vary among the fact's rows of one key;
+    it is used to salt hot keys. Leave it out for a fact already reduced to few rows per key. Which keys are hot is
     counted in ``keys_of``, by default the fact itself; a fact made by joins should name the plain
     table it comes from.
     """

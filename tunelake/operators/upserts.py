@@ -33,5 +33,5 @@ def replace_rows(stored: DataFrame, batch: DataFrame, key: str, latest_by: str |
 def new_rows(stored: DataFrame, batch: DataFrame, key: str, first_by: str | None = None) -> DataFrame:
     """The batch's rows whose key is not stored yet, one per key."""
     new = one_per_key(batch, key, first_by, keep="first")
-    taken = stored_matches(stored.select(key), new, key)
+    taken = stored_matches(stored.select(key), batch, key)
     return new.join(taken, key, "left_anti").select(*stored.columns)
