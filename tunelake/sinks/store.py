@@ -81,7 +81,7 @@ class Store:
         a scan of the stored keys, is left out."""
         key = PRIMARY_KEY[EVENTS]
         batch = _with_day(batch)
-        keys = batch.select(key)
+        keys = batch.select(key).distinct()
         stored = self.read("raw", EVENTS)
         days = _days(batch)
         moved = set()
