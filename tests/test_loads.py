@@ -67,6 +67,14 @@ def test_events_between_includes_both_ends(spark):
     assert "PushedFilters: [IsNotNull(started_at), GreaterThanOrEqual(started_at" in plan
 
 
+def test_stored_days_are_pruned(spark, store):
+    store.merge_events(batch(spark, event("a"), event("b", DAY2)))
+    one = events_between(store.read("raw", "stream_events"), DAY2, DAY2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert [r.event_id for r in one.collect()] == ["b"]
+
+
 def test_merge_updates_inserts_and_repeats(spark, store):
     store.merge_events(batch(spark, event("a"), event("b"), event("b")))
     second = batch(spark, event("b", played=2), event("c", DAY2))

@@ -110,6 +110,13 @@ def test_one_per_key(spark):
     assert sorted(again) == sorted(upserts.one_per_key(df.coalesce(1), "k").collect())
 
 
+def test_copies_of_a_key_are_cut_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) as k", "id as v")
+    plan = upserts.one_per_key(df, "k", "v")._jdf.queryExecution().executedPlan().toString()
+    partial, shuffle = plan.index("Partial"), plan.index("Exchange hashpartitioning")
+    assert shuffle < partial  # the plan is printed from the result down to the scan
+
+
 def test_replace_and_ignore(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     batch = spark.createDataFrame([("b", 2), ("c", 2), ("c", 3)], "k string, v int")

@@ -12,6 +12,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A shuffled join whose dimension parts turn out small is hashed and need not sort the fact.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Reliable checkpoints are deleted once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Dynamic mode lets a merge rewrite only the days it touches.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Keyed streaming state lives off-heap and on disk, not in the executor's heap.
