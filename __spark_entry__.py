@@ -29,6 +29,12 @@ from tunelake.sources import landing  # noqa: E402
 from tunelake.sources.tables import events_between  # noqa: E402
 from tunelake.streaming import ingest  # noqa: E402
 
+try:  # the operators for training text are optional: without their folder, everything else runs
+    import corpus_pipeline
+    from tunelake.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 JANUARY = (date(2024, 1, 1), date(2024, 1, 31))
 
@@ -457,6 +463,7 @@ def queries() -> dict[str, Query]:
         "stream_dedup": stream_dedup,
         "stream_merge": stream_merge,
         "stream_daily": stream_daily,
+        **(llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
 
@@ -568,4 +575,7 @@ def oracle_sql() -> dict[str, str]:
                         "COLUMNS('streams_(ios|android|web|chromecast|alexa)') "
                         "FROM daily_listening_stats",
     }
-    return {name: oracle.sql(select) for name, select in selects.items()}
+    llm = llm_queries.ORACLE_SQL if llm_queries else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        llm = llm | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: oracle.sql(select) for name, select in selects.items()} | llm

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,13 +33,27 @@ def build_session(app_name: str = "tunelake", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def default_root(master: str, default_fs: str) -> str:
+    """Where intermediate data goes if ``spark.checkpoint.dir`` is unset: a folder of the cluster's
+    default file system, which has to be shared unless everything runs in one process."""
+    scheme = default_fs.split(":")[0] if ":" in default_fs else "file"
+    if scheme == "file" and not master.startswith("local[") and master != "local":
+        raise ValueError(
+            f"spark.checkpoint.dir is unset and the default file system ({default_fs}) is local to "
+            f"each machine of {master}; set spark.checkpoint.dir to a shared folder"
+        )
+    return f"{default_fs.rstrip('/') or 'file:'}/tmp/checkpoints/tunelake-{uuid.uuid4().hex}"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only if it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tunelake-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+        hadoop = context._jsc.hadoopConfiguration()
+        root = default_root(context.master, hadoop.get("fs.defaultFS") or "file:///")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
     return root
 
 
