@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunelake.llm import exact_dedup, mixing, packing
+from tunelake.llm import exact_dedup, mixing, ngram_join, packing, quality
 from tunelake.llm.common import read, stored
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject, by a model of the table's labels."""
+    model = quality.fitted(docs, read(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, score="__score").where(
+        F.col("__score") >= quality.CUT).select(*docs.columns)
+
+
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest doc_id stays."""
     return exact_dedup.without_duplicates(docs, keep="largest")
 
 
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a similarity of 0.8 or more, the one with the smallest doc_id
+    stays."""
+    return ngram_join.without_near_duplicates(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often, and as far, as the mix takes them."""
     return mixing.mixed_documents(docs)
@@ -24,7 +38,9 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good_quality),
     ("exact dedup", unique_texts),
+    ("n-gram Jaccard join", distinct_texts),
     ("mixing", mixed),
     ("best-fit packing", sequences),
 ]

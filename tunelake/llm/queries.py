@@ -9,11 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm import exact_dedup, mixing, packing, warc
+from tunelake.llm import (
+    chat, exact_dedup, licenses, mixing, ngram_join, packing, quality, topk, warc,
+)
 from tunelake.llm.common import read
 from tunelake.session import scratch_path
 
 
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per document: its class of connected documents and its number of links."""
+    return ngram_join.near_duplicates(read(spark, sf, "documents")).select(
+        F.col("__id").alias("doc_id"), "class_id", "class_size", "text_class", "n_links")
+
+
+def op2_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 highest scores of every twentieth vector."""
+    return topk.top_k(read(spark, sf, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document; of equal texts the one with the largest doc_id stays."""
     groups = exact_dedup.duplicate_groups(read(spark, sf, "documents"), keep="largest")
@@ -26,12 +39,32 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(read(spark, sf, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf, "documents")).drop("spans")
+
+
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     """The records read back from the archives that were written."""
     index = warc.write_archives(read(spark, sf, "pages"), scratch_path(spark, "warc"))
     return warc.read_records(spark, index).drop("html", "url")
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all documents; labels of held-out documents aren't used."""
+    docs = read(spark, sf, "documents")
+    model = quality.fitted(docs, read(spark, sf, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns recovered from all conversations, written as raw transcripts before."""
+    raw = chat.raw_transcripts(read(spark, sf, "conversations"))
+    model = chat.fitted(raw, "raw")
+    return chat.recovered(raw, model, "raw")
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """What the mix takes of each document."""
     return mixing.taken(mixing.mixed(read(spark, sf, "documents"))).select(
@@ -39,9 +72,14 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_top_k": op2_top_k,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
+    "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
 }
 
@@ -52,6 +90,19 @@ _BASE32 = " || ".join(
 )
 
 ORACLE_SQL = {
+    "op2_top_k": """
+        WITH v AS (
+            SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e
+            FROM embeddings WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
