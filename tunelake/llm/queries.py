@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import (
-    chat, exact_dedup, licenses, mixing, ngram_join, packing, quality, topk, warc,
+    chat, exact_dedup, licenses, mixing, ngram_join, packing, quality, suffix_dedup, topk,
+    warc,
 )
 from tunelake.llm.common import read
 from tunelake.session import scratch_path
@@ -49,6 +50,13 @@ def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_records(spark, index).drop("html", "url")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each document without the passages that repeat."""
+    cut = suffix_dedup.without_repeats(read(spark, sf, "documents"), with_text=False)
+    return cut.select(F.col("__id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+                      "kept_sha256")
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all documents; labels of held-out documents aren't used."""
     docs = read(spark, sf, "documents")
@@ -78,6 +86,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
