@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import exact_dedup, mixing, ngram_join, packing, quality
-from tunelake.llm.common import read, stored
+from tunelake.llm.common import fresh, read, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, by a model of the table's labels."""
     model = quality.fitted(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, score="__score").where(
-        F.col("__score") >= quality.CUT).select(*docs.columns)
+    score = fresh(docs, "__score")
+    return quality.scored(docs, model, score=score).where(F.col(score) >= quality.CUT).drop(score)
 
 
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose place in the scan is in ``dropped`` (column ``__row``).
+    ``docs`` has to give the same rows in the same order each time it is read, as tables do."""
+    row = fresh(docs, "__row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(
+        dropped.select(F.col("__row").alias(row)), row, "left_anti").drop(row)
+
+
 def filled(name: str) -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import filled, stored
+from tunelake.llm.common import filled, stored, without_rows
 
 DIGEST = ("__sha", "__bytes", "__check")
 
@@ -96,8 +96,5 @@ def without_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns. ``docs`` has to give the same rows in
     the same order each time it is read, as a table on disk does."""
-    dropped = duplicate_groups(docs, text, row_id, keep).where("not kept").select("__row")
-    return (
-        docs.withColumn("__row", F.monotonically_increasing_id())
-        .join(dropped, "__row", "left_anti").drop("__row")
-    )
+    dropped = duplicate_groups(docs, text, row_id, keep).where("not kept")
+    return without_rows(docs, dropped)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled, stored
+from tunelake.llm.common import batches_of, filled, stored, without_rows
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 6
@@ -398,6 +398,5 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "
     first = several.where("__id <=> class_id").groupBy("class_id").agg(F.min("__row").alias("stays"))
     dropped = several.alias("d").join(
         first.alias("f"), F.expr("d.class_id <=> f.class_id")
-    ).where("__row <> stays").select("__row")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(
-        dropped, "__row", "left_anti").drop("__row")
+    ).where("__row <> stays")
+    return without_rows(docs, dropped)
