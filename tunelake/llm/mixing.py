@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import SIZE_WORD, stored, word_count
+from tunelake.llm.common import SIZE_WORD, fresh, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: numpy draws a split exactly up to this many slots; above, the split is in proportion (the draw
@@ -205,16 +205,14 @@ def _slots(spark, sources: list[Source], block: int, per_shard: int, seed: int)
                         here = epoch == e
                         to[here] = permuted(n[here] % s.blocks, s.blocks, (seed, s.number, e))
                     take = np.where(n == s.slots - 1, s.last_take, block)
-                    parts.append(pd.DataFrame({
-                        "__sid": s.number, "epoch": epoch, "__block": to, "__take": take}))
-                rows = pd.concat(parts, ignore_index=True)
-                order = np.random.default_rng([seed, 1, shard]).permutation(len(rows))
-                rows = rows.iloc[order].reset_index(drop=True)
-                rows.insert(0, "slot", np.arange(len(rows)))
-                rows.insert(0, "shard", shard)
-                yield rows
-
-    return spark.range(0, n_shards if total else 0, 1, max(1, min(n_shards, 1 + n_shards // 8))
+                    parts.append((np.full(len(n), s.number), epoch, to, take))
+                columns = [np.concatenate(x) for x in zip(*parts)]
+                slot = np.random.default_rng([seed, 1, shard]).permutation(len(columns[0]))
+                yield pd.DataFrame(dict(zip(
+                    ("shard", "slot", "__sid", "epoch", "__block", "__take"),
+                    (np.full(len(slot), shard), slot, *columns))))
+
+    return spark.range(0, n_shards if total else 0, 1, 1 + n_shards // 64
                        ).mapInPandas(
         draw, "shard long, slot long, __sid int, epoch long, __block long, __take long")
 
@@ -268,7 +266,9 @@ def mixed(
     ).select("d.__row", "d.__id", "s.__sid", "d.__size", "s.source_size", "s.target")
     pieces = _pieces(_spans(rows, block, chunk_rows), block)
     slots = _slots(spark, plan, block, per_shard, seed)
-    spans = slots.join(pieces, ["__sid", "__block"]).where("__at < __take").select(
+    # Spark takes the slots for small, as it doesn't see what a shard becomes; they grow with the
+    # table and must not be broadcast.
+    spans = slots.hint("merge").join(pieces, ["__sid", "__block"]).where("__at < __take").select(
         "shard", "slot", F.col("__at").alias("position"), "epoch", "__row",
         F.col("__word").alias("start"),
         F.least(F.col("__n"), F.col("__take") - F.col("__at")).alias("n_words"),
@@ -287,15 +287,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """The documents of the mix, with the columns of ``docs``: for each pass over its source, a
     row whose text is what that pass takes of it (whole documents as they are, parts as runs of
     their words; ``n_chars``, if there, is counted anew)."""
-    from pyspark.sql.functions import pandas_udf
-
     mix = mixed(docs, text, **options)
+    row, got = fresh(docs, "__row"), fresh(docs, "__mix")
     parts = mix.spans.groupBy("__row", "epoch").agg(
-        F.sum("n_words").alias("__words"),
-        F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__parts"),
-    ).join(mix.rows.select("__row", "size"), "__row")
+        F.sum("n_words").alias("words"),
+        F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("parts"),
+    ).join(mix.rows.select("__row", "size"), "__row").select(
+        F.col("__row").alias(row),
+        F.struct("parts", (F.col("words") == F.col("size")).alias("whole")).alias(got))
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         import re
 
@@ -314,11 +315,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
         return pd.Series(out)
 
     assert SIZE_WORD == r"[^\x20\x09-\x0D]+"  # the pattern above, as Python writes it
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(parts, "__row")
-    whole = F.col("__words") == F.col("size")
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(parts, row)
     # Two branches, so that whole texts don't pass through Python.
-    kept = rows.where(whole)
-    partial = rows.where(~whole).withColumn(text, cut(F.col(text), F.col("__parts")))
+    kept = rows.where(F.col(got)["whole"])
+    partial = rows.where(~F.col(got)["whole"]).withColumn(
+        text, cut(F.col(text), F.col(got)["parts"]))
     out = kept.unionByName(partial)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
