@@ -12,6 +12,8 @@ from tunelake.session import scratch_path
 
 #: A word where only sizes count: a run of anything but ASCII white space.
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the map of wanted rows (see ``among``); with very many rows it lets more through.
+MAP_BITS = 1 << 25
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +44,25 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         dropped.select(F.col("__row").alias(row)), row, "left_anti").drop(row)
 
 
+def _bit(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(MAP_BITS)) + 1
+
+
+def among(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``texts`` with ``__maybe``: false only if ``__row`` isn't among ``rows``. The map that is
+    sent to all tasks has MAP_BITS bits, whatever the size of the tables."""
+    bits = rows.select(_bit("__row").alias("b")).groupBy(
+        F.expr("bitmap_bucket_number(b)").alias("__bucket")
+    ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.expr("int(__at div 8) + 1"), F.lit(1))), 16, 10)
+    return texts.withColumn("__b", _bit("__row")).withColumns({
+        "__bucket": F.expr("bitmap_bucket_number(__b)"),
+        "__at": F.expr("bitmap_bit_position(__b)"),
+    }).join(F.broadcast(bits), "__bucket", "left").withColumn("__byte", byte.cast("int")).withColumn(
+        "__maybe", F.coalesce(F.expr("__byte & shiftleft(1, int(__at % 8)) <> 0"), F.lit(False))
+    ).drop("__b", "__bucket", "__at", "__map", "__byte")
+
+
 def filled(name: str) -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled, stored, without_rows
+from tunelake.llm.common import among, batches_of, filled, stored, without_rows
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 6
@@ -170,24 +170,41 @@ def _grouped(work: Callable[[tuple, pa.Table], Iterator[pa.RecordBatch]], keys:
 
 
 def _signed(texts: DataFrame, n: int, seeds: np.ndarray) -> DataFrame:
-    """``__row``, ``set`` (the n-grams), ``same`` (which sets are equal), ``sig``."""
+    """``__row``, ``same`` (which sets are equal) and ``sig``. The sets themselves are larger than the
+    texts and are not kept."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):
             sets = [grams(t, n) for t in batch.column(1).to_pylist()]
-            data = [s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(data, pa.binary()),
-                pa.array([xxhash.xxh3_128_digest(d) for d in data], pa.binary()),
+                batch.column(0),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([minhashes(s, seeds).tobytes() for s in sets], pa.binary()),
-            ], ["__row", "set", "same", "sig"])
+            ], ["__row", "same", "sig"])
 
-    return texts.mapInArrow(sign, "__row long, set binary, same binary, sig binary")
+    return texts.mapInArrow(sign, "__row long, same binary, sig binary")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``text_id`` and ``set``, the n-grams, of the wanted texts."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches, 256):
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([grams(t, n).tobytes() for t in
+                                           batch.column(1).to_pylist()], pa.binary()),
+            ], ["text_id", "set"])
+
+    near = among(texts.select("__row", "__text"),
+                 wanted.withColumnRenamed("text_id", "__row")).where("__maybe")
+    return near.withColumnRenamed("__row", "text_id").join(wanted, "text_id").select(
+        "text_id", "__text").mapInArrow(read, "text_id long, set binary")
 
 
 def _blocked(members: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Each member of a group once for each pair of blocks that its block is in: ``bi`` <= ``bj``.
     Groups of up to ``block`` members are one block. Members go to blocks by hash."""
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
+    # Stored, so that the join below has a plain exchange on either side and can split a large group.
+    sizes = stored(members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"),
+                   "sizes")
     n = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("text_id", F.lit(3)), F.col("blocks")).cast("int")
     return members.join(sizes, keys).withColumn("blocks", n).withColumn("mine", mine).select(
@@ -240,12 +257,12 @@ def _candidates(signed: DataFrame, depth: int, before: int | None, threshold: fl
         "tree long, bucket long, bi long, bj long, part long, mine long, text_id long")
 
 
-def _verified(found: DataFrame, signed: DataFrame, depth: int, before: int | None,
+def _verified(found: DataFrame, signed: DataFrame, sets: DataFrame, depth: int, before: int | None,
               threshold: float, trees: int, steps: int) -> DataFrame:
     """Links of a round, without a row per pair: kind 0 rows count the links (``n``, weighted with
     the copies of the linked texts) of ``a``; kind 1 rows are links a - b that connect; kind 2 rows
     have the number of links ``n`` at a similarity of ``b`` per mille."""
-    rows = found.join(signed.select("text_id", "sig", "set", "copies"), "text_id")
+    rows = found.join(signed.join(sets, "text_id"), "text_id")
     keys = ["tree", "bucket", "bi", "bj", "part"]
 
     def verify(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -360,13 +377,15 @@ def near_duplicates(
         F.min("__id").alias("text_class")), "classes")
     texts = stored(
         signed.join(classes.select(F.col("text_id").alias("__row"), "copies"), "__row").select(
-            F.col("__row").alias("text_id"), "sig", "set", "copies"), "texts")
+            F.col("__row").alias("text_id"), "sig", "copies"), "texts")
 
     results, before = None, None
     for level in range(depth, 0, -2):
         found = stored(_candidates(texts, level, before, threshold, trees, steps, block),
                        "candidates")
-        links = stored(_verified(found, texts, level, before, threshold, trees, steps), "links")
+        sets = stored(_sets(rows, found.select("text_id").distinct(), n), "sets")
+        links = stored(_verified(found, texts, sets, level, before, threshold, trees, steps),
+                       "links")
         results = links if results is None else results.unionByName(links)
         before = level
         # Links by similarity: at most a thousand lines, whatever the size of the table.

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled, stored
+from tunelake.llm.common import among, batches_of, filled, stored
 from tunelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, WINDOW = 200, 72
@@ -38,8 +38,6 @@ LENGTH, WINDOW = 200, 72
 SHARD_BYTES = 1 << 20
 #: An anchor with more different contexts is split by a second anchor.
 MANY = 2000
-#: Bits of the map of texts with a repeated anchor; beyond, it lets more texts through.
-MAP_BITS = 1 << 25
 _TABLES = np.random.default_rng(21).integers(1, 2**63, (2, 256), dtype=np.uint64)
 _MULT = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
@@ -118,25 +116,6 @@ def _anchored(texts: DataFrame, length: int, width: int) -> DataFrame:
              "anchor", "context", "loops")
 
 
-def _bit(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(MAP_BITS)) + 1
-
-
-def _among(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``texts`` with ``__maybe``: false only if ``__row`` isn't among ``rows``. The map that is
-    sent to all tasks has MAP_BITS bits, whatever the size of the tables."""
-    bits = rows.select(_bit("__row").alias("b")).groupBy(
-        F.expr("bitmap_bucket_number(b)").alias("__bucket")
-    ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("__map"))
-    byte = F.conv(F.hex(F.substring("__map", F.expr("int(__at div 8) + 1"), F.lit(1))), 16, 10)
-    return texts.withColumn("__b", _bit("__row")).withColumns({
-        "__bucket": F.expr("bitmap_bucket_number(__b)"),
-        "__at": F.expr("bitmap_bit_position(__b)"),
-    }).join(F.broadcast(bits), "__bucket", "left").withColumn("__byte", byte.cast("int")).withColumn(
-        "__maybe", F.coalesce(F.expr("__byte & shiftleft(1, int(__at % 8)) <> 0"), F.lit(False))
-    ).drop("__b", "__bucket", "__at", "__map", "__byte")
-
-
 def _pieces(wanted: DataFrame, texts: DataFrame, length: int, width: int) -> DataFrame:
     """The bytes of the contexts wanted: ``shard`` key, which context, and ``data``; those of an
     anchor with many contexts once more cut by a second anchor (``at``: place in the context)."""
@@ -306,7 +285,7 @@ def without_repeats(
     ).where("different > 1 or self")
     wanted = distinct.join(several, "anchor").select(
         "one.*", "anchor", "context", "copies", (F.col("different") > MANY).alias("many"))
-    maybe = _among(texts, repeated)
+    maybe = among(texts, repeated)
     pieces = stored(_pieces(wanted, maybe.where("__maybe").select("__row", "__text"), length,
                             window), "pieces")
     total = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -323,7 +302,7 @@ def without_repeats(
     ranges = stored(whole.unionByName(single).groupBy("__row").agg(
         F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
     # Texts that can't have any are done where they are read; the others meet their ranges.
-    touched = _among(texts, ranges)
+    touched = among(texts, ranges)
     none = F.lit(None)
     untouched = touched.where("not __maybe").select(
         "__row", F.octet_length("__text").cast("long").alias("n_bytes"),
