@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -24,6 +24,7 @@ from tunelake.operators.lookups import lookup  # noqa: E402
 from tunelake.plans import jobs, marts, patterns, quality_suite, reports  # noqa: E402
 from tunelake.schemas import RAW  # noqa: E402
 from tunelake.session import scratch_path  # noqa: E402
+from tunelake.sinks.catalog import publish  # noqa: E402
 from tunelake.sinks.store import EVENTS, Store  # noqa: E402
 from tunelake.sources import landing  # noqa: E402
 from tunelake.sources.tables import events_between  # noqa: E402
@@ -36,7 +37,6 @@ except ImportError:
     corpus_pipeline = llm_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
-JANUARY = (date(2024, 1, 1), date(2024, 1, 31))
 
 
 def _inputs(staged: dict[str, DataFrame]) -> tuple[DataFrame, ...]:
@@ -76,7 +76,11 @@ def enriched_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mart(build: Callable[..., DataFrame], lines: bool = False) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        staged = (mapping.staged_lines if lines else mapping.staged)(spark, sf, *MART_TABLES)
+        if lines:  # the top tracks read the fact once, the others several times
+            several = build is not marts.top_tracks_daily
+            staged = mapping.staged_lines(spark, sf, *MART_TABLES, once=several)
+        else:
+            staged = mapping.staged(spark, sf, *MART_TABLES)
         return _rounded(build(*_inputs(staged)), "avg_pct_played")
     return run
 
@@ -185,10 +189,12 @@ def _models(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     )
 
 
-def _tests(suite: Callable[[dict[str, DataFrame]], DataFrame], *models: str) -> Query:
+def _tests(suite: Callable[[dict[str, DataFrame]], DataFrame], *marts_named: str) -> Query:
+    """A suite over all models, or over the named marts, which are then the only ones built."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        found = _models(spark, sf)
-        return suite({m: found[m] for m in models} if models else found)
+        if not marts_named:
+            return suite(_models(spark, sf))
+        return suite(jobs.build_marts(mapping.staged(spark, sf, *MART_TABLES), marts_named))
     return run
 
 
@@ -218,11 +224,19 @@ def _longer(events: DataFrame) -> DataFrame:
     return events.withColumn("ms_played", F.expr("ms_played + 1000"))
 
 
+def _span(spark: SparkSession, sf: str) -> tuple[date, date]:
+    """First and last day of the events: one row."""
+    days = _raw_table(spark, sf, EVENTS).selectExpr("cast(started_at as date) as day")
+    return tuple(days.agg(F.min("day"), F.max("day")).first())
+
+
 def _first_and_second(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Two loads that overlap: to 20 January, and from 11 January on with other values."""
-    events = _raw_table(spark, sf, EVENTS)
-    first = events_between(events, JANUARY[0], date(2024, 1, 20))
-    return first, _longer(events_between(events, date(2024, 1, 11), JANUARY[1]))
+    """Two loads that overlap: the first two thirds of the days, and the last two thirds with other
+    values."""
+    events, (first, last) = _raw_table(spark, sf, EVENTS), _span(spark, sf)
+    third = (last - first).days // 3, 2 * (last - first).days // 3
+    low, high = (first + timedelta(days=n) for n in third)
+    return events_between(events, first, high), _longer(events_between(events, low, last))
 
 
 def replace_load(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,6 +246,15 @@ def replace_load(spark: SparkSession, sf: str) -> DataFrame:
     return _table(store, "tracks")
 
 
+def replace_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What was stored before, on other days, is gone."""
+    store, events = _store(spark, "replace", EVENTS), _raw_table(spark, sf, EVENTS)
+    later = F.expr("cast(started_at + interval 100 days as timestamp_ntz)")
+    store.replace("raw", EVENTS, events.withColumn("started_at", later))
+    store.replace("raw", EVENTS, events)
+    return _table(store, EVENTS)
+
+
 def upsert_replace(spark: SparkSession, sf: str) -> DataFrame:
     """Users in debt change to ``free``, and each rich one brings a new user."""
     store = _store(spark, "upsert", "users")
@@ -266,7 +289,7 @@ def merge_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _land(spark: SparkSession, sf: str, *tables: str) -> str:
-    """Land the raw tables, or those named, as JSON pages of at most 500 records."""
+    """Land the raw tables, or those named, as JSON pages of at most 500 records; events by day."""
     path = scratch_path(spark, "landing")
     pages = {
         "artists": "popularity_rank div 500", "albums": "datediff(release_date, '2000-01-01')",
@@ -274,7 +297,12 @@ def _land(spark: SparkSession, sf: str, *tables: str) -> str:
     }
     for table in tables or RAW:
         df = mapping.raw_table(spark, sf, table)
-        landing.write_pages(df, f"{path}/{table}", pages[table], 500)
+        by_day = {}
+        if table == EVENTS:
+            first, last = _span(spark, sf)
+            days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+            by_day = {"day": "started_at", "days": days}
+        landing.write_pages(df, f"{path}/{table}", pages[table], 500, **by_day)
     return path
 
 
@@ -285,13 +313,15 @@ def landing_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def daily_load(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "load")
-    jobs.daily_load(store, _land(spark, sf), "2024-01-01", today=date(2024, 1, 31))
+    first, last = _span(spark, sf)
+    jobs.daily_load(store, _land(spark, sf), first.isoformat(), today=last + timedelta(days=1))
     return _table(store, EVENTS)
 
 
 def _history(spark: SparkSession, sf: str, label: str) -> Store:
     store = _store(spark, label)
-    jobs.backfill(store, _raw(spark, sf), "2024-01-01", "2024-01-31")
+    first, last = _span(spark, sf)
+    jobs.backfill(store, _raw(spark, sf), first.isoformat(), last.isoformat())
     return store
 
 
@@ -306,6 +336,12 @@ def built_daily_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(store.read("marts", "daily_listening_stats"), "avg_pct_played")
 
 
+def enriched_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Backfill, enter the models in the catalog, read the lasting view back by its name."""
+    publish(_history(spark, sf, "view"), [])
+    return spark.table("dev_intermediate.int_enriched_events")
+
+
 def date_range_scan(spark: SparkSession, sf: str) -> DataFrame:
     events = mapping.raw_table(spark, sf, EVENTS)
     return events_between(events, date(2024, 1, 10), date(2024, 1, 16)).select(
@@ -373,13 +409,21 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event arrives twice and is kept once."""
-    events, path = _event_stream(spark, sf), scratch_path(spark, "dedup")
-    twice = events.unionByName(_event_stream(spark, sf))
+    """The events arrive in several files, one per batch and the newest days first, and then all
+    once more; each is kept once."""
+    path, (first, last) = scratch_path(spark, "dedup"), _span(spark, sf)
+    raw = mapping.raw_table(spark, sf, EVENTS)
+    third = (last - first).days // 3
+    edges = [first, first + timedelta(days=third), first + timedelta(days=2 * third)]
+    parts = list(zip(edges, [*(d - timedelta(days=1) for d in edges[1:]), last]))
+    for a, b in [*reversed(parts), *reversed(parts)]:
+        events_between(raw, a, b).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/in")
     ingest.to_table(
-        ingest.deduplicated(twice), f"{path}/rows", f"{path}/checkpoint"
+        ingest.deduplicated(stream), f"{path}/rows", f"{path}/checkpoint"
     ).awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{path}/rows")
+    return spark.read.schema(raw.schema).parquet(f"{path}/rows")
 
 
 def stream_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -444,6 +488,7 @@ def queries() -> dict[str, Query]:
         "dq_rank_range": _tests(quality_suite.range_tests, "top_tracks_daily"),
         "dq_share_sum": _tests(quality_suite.share_tests, "genre_trends"),
         "replace_load": replace_load,
+        "replace_events": replace_events,
         "upsert_replace": upsert_replace,
         "upsert_ignore": upsert_ignore,
         "merge_events": merge_events,
@@ -451,6 +496,7 @@ def queries() -> dict[str, Query]:
         "daily_load": daily_load,
         "backfill_rows": backfill_rows,
         "built_daily_stats": built_daily_stats,
+        "enriched_view": enriched_view,
         "date_range_scan": date_range_scan,
         "row_counts": row_counts,
         "surrogate_key": surrogate_key,
@@ -486,8 +532,13 @@ def oracle_sql() -> dict[str, str]:
 
     md5 = ("substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || "
            "substr({h}, 17, 4) || '-' || substr({h}, 21)")
-    second_load = ("(SELECT * REPLACE (CASE WHEN CAST(started_at AS DATE) >= DATE '2024-01-{}' "
-                   "THEN ms_played + 1000 ELSE ms_played END AS ms_played) FROM raw_stream_events)")
+    day = "CAST(started_at AS DATE)"
+    span = "(max(d) - min(d))"
+    second_load = (
+        f"(SELECT e.* REPLACE (CASE WHEN {day} {{}} THEN ms_played + 1000 ELSE ms_played END "
+        f"AS ms_played) FROM raw_stream_events e, (SELECT min(d) + CAST({span} // 3 AS INTEGER) "
+        f"AS low, min(d) + CAST(2 * {span} // 3 AS INTEGER) AS high "
+        f"FROM (SELECT {day} AS d FROM raw_stream_events)))")
     customers = "(SELECT u.*, c_acctbal FROM raw_users u JOIN customer ON user_id = c_custkey)"
     selects = {
         "stg_artists": rows("stg_artists"),
@@ -535,6 +586,7 @@ def oracle_sql() -> dict[str, str]:
         "dq_rank_range": oracle.ranges(("top_tracks_daily",)),
         "dq_share_sum": oracle.shares(),
         "replace_load": _stored("tracks"),
+        "replace_events": _stored(EVENTS),
         "upsert_replace": _stored("users", f"""(
             SELECT CAST(user_id AS VARCHAR) AS user_id, * EXCLUDE (user_id, c_acctbal)
                    REPLACE (CASE WHEN c_acctbal < 0 THEN 'free' ELSE subscription_type END
@@ -542,13 +594,16 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT 'friend-of-' || user_id, * EXCLUDE (user_id, c_acctbal) FROM {customers}
             WHERE c_acctbal > 9000)"""),
-        "upsert_ignore": _stored(EVENTS, second_load.format(21)),
-        "merge_events": _stored(EVENTS, second_load.format(11)),
+        "upsert_ignore": _stored(EVENTS, second_load.format("> high")),
+        "merge_events": _stored(EVENTS, second_load.format(">= low")),
         "landing_scan": _stored("tracks"),
         "daily_load": _stored(EVENTS),
         "backfill_rows": " UNION ALL ".join(
             f"SELECT 'raw.{t}' AS \"table\", COUNT(*) AS n_rows FROM raw_{t}" for t in RAW),
         "built_daily_stats": rows("daily_listening_stats"),
+        "enriched_view": "SELECT * REPLACE (CAST(event_id AS VARCHAR) AS event_id, "
+                         "CAST(track_id AS VARCHAR) AS track_id, "
+                         "CAST(user_id AS VARCHAR) AS user_id) FROM int_enriched_events",
         "date_range_scan": "SELECT event_id, user_id, track_id, started_at, ms_played FROM "
                            "stg_stream_events WHERE event_date BETWEEN DATE '2024-01-10' AND "
                            "DATE '2024-01-16'",

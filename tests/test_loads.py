@@ -12,7 +12,7 @@ from small_data import DAY1, DAY2, EVENTS, raw_tables
 from tunelake.__main__ import main
 from tunelake.plans import jobs
 from tunelake.schemas import RAW
-from tunelake.session import checkpoint_root
+from tunelake.session import checkpoint_root, default_root
 from tunelake.sinks.store import Store, schema_name
 from tunelake.sources import landing
 from tunelake.sources.tables import day_range, events_between, from_rows
@@ -137,7 +137,9 @@ def test_replace_and_insert_or_replace(spark, store):
 def land(spark, folder):
     for table, df in raw_tables(spark).items():
         plain = df.drop("_dlt_load_id", "_dlt_id")
-        landing.write_pages(plain, f"{folder}/{table}", "0", 500)
+        days = {"day": "started_at", "days": [date(2025, 1, d) for d in range(1, 6)]}
+        landing.write_pages(plain, f"{folder}/{table}", "0", 500,
+                            **(days if table == "stream_events" else {}))
 
 
 def test_pages_round_trip(spark, tmp_path):
@@ -151,13 +153,117 @@ def test_pages_round_trip(spark, tmp_path):
 def test_pages_of_several_records_and_empty_pages(spark, tmp_path):
     pages = [{"data": [{"album_id": "b1", "title": "x", "release_date": "2022-05-01"},
                        {"album_id": "b2", "title": "y", "release_date": None}],
-              "page": 1, "page_size": 2, "total": 2, "has_more": False}, {"data": [], "page": 2}]
+              "page": 1, "page_size": 2, "total": 2, "has_more": True},
+             {"data": [], "page": 2, "page_size": 2, "total": 2, "has_more": False}]
     (tmp_path / "albums").mkdir()
     (tmp_path / "albums" / "p.json").write_text("\n".join(map(json.dumps, pages)))
     rows = landing.read_pages(spark, f"{tmp_path}/albums", "albums").collect()
     assert [(r.album_id, r.release_date) for r in rows] == [("b1", date(2022, 5, 1)), ("b2", None)]
 
 
+GOOD = [{"data": [{"user_id": "u1"}], "page": 1, "page_size": 1, "total": 2, "has_more": True},
+        {"data": [{"user_id": "u2"}], "page": 2, "page_size": 1, "total": 2, "has_more": False}]
+
+
+@pytest.mark.parametrize("pages", [
+    [],
+    GOOD[:1],                                            # the last page is missing
+    GOOD[1:],                                            # the first one is
+    [GOOD[0], GOOD[1] | {"page": 3}],                    # one between
+    [GOOD[0], {"error": "no reply"}],
+    [GOOD[0], {**GOOD[1], "data": None}],
+    [GOOD[0], {"users": [{"user_id": "u2"}], "page": 2, "total": 2, "has_more": False}],
+    [p | {"total": 3} for p in GOOD],                    # a wrong total
+    [GOOD[0], GOOD[1] | {"total": 7}],
+    [GOOD[0], GOOD[1], GOOD[1]],
+], ids=str)
+def test_incomplete_pages_stop_the_load_before_any_table(spark, store, tmp_path, pages):
+    land(spark, tmp_path / "landing")
+    folder = tmp_path / "landing" / "users"
+    for file in folder.glob("*"):
+        file.write_text("")
+    (folder / "part-0.json").write_text("\n".join(map(json.dumps, pages)))
+    with pytest.raises(ValueError, match="not complete"):
+        jobs.daily_load(store, str(tmp_path / "landing"), "2025-01-03", today=TODAY)
+    assert {store.read("raw", t).count() for t in RAW} == {0}
+    (folder / "part-0.json").write_text("\n".join(map(json.dumps, GOOD)))
+    jobs.daily_load(store, str(tmp_path / "landing"), "2025-01-03", today=TODAY)
+    assert store.read("raw", "users").count() == 2 and len(stored(store)) == 9
+
+
+def test_only_the_days_asked_for_are_opened(spark, store, tmp_path):
+    land(spark, tmp_path)
+    path = f"{tmp_path}/stream_events"
+    files = landing.landed_pages(spark, path, "stream_events", [DAY2]).inputFiles()
+    assert files and all(f"date={DAY2}" in f for f in files)
+    found = landing.read_pages(spark, path, "stream_events", [DAY2])
+    assert {r.started_at.date() for r in found.collect()} == {DAY2}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        landing.read_pages(spark, path, "stream_events", [date(2024, 1, 1)])
+
+
+def test_pages_hold_no_more_than_their_size(spark, tmp_path):
+    users = raw_tables(spark)["users"]
+    with pytest.raises(Exception, match="more than 2 records"):
+        landing.write_pages(users, f"{tmp_path}/p", "0", 2)
+    landing.write_pages(users, f"{tmp_path}/q", "length(user_id)", 2)
+    pages = landing.landed_pages(spark, f"{tmp_path}/q", "users").orderBy("page").collect()
+    assert [(p.page, p.total, p.has_more) for p in pages] == [(0, 3, True), (1, 3, False)]
+
+
+def test_null_keys_are_refused_and_nothing_is_written(spark, store):
+    good, bad = event("a"), (None,) + event("b")[1:]
+    store.merge_events(batch(spark, good))
+    users = raw_tables(spark)["users"]
+    store.replace("raw", "users", users)
+    nameless = users.selectExpr("nullif(user_id, 'u1') as user_id",
+                                *(c for c in users.columns if c != "user_id"))
+    for write in (
+        lambda: store.merge_events(batch(spark, event("c"), bad, bad)),
+        lambda: store.insert_or_ignore("stream_events", batch(spark, event("c"), bad)),
+        lambda: store.insert_or_replace("stream_events", batch(spark, event("c"), bad)),
+        lambda: store.replace("raw", "stream_events", batch(spark, event("c"), bad)),
+        lambda: store.insert_or_replace("users", nameless),
+        lambda: store.insert_or_ignore("users", nameless),
+        lambda: store.replace("raw", "users", nameless),
+    ):
+        with pytest.raises(ValueError, match="have no"):
+            write()
+        assert stored(store) == {"a": (DAY1, 1)} and store.read("raw", "users").count() == 3
+
+
+def test_replace_drops_other_days(spark, store):
+    store.merge_events(batch(spark, event("a"), event("b", DAY2)))
+    store.replace("raw", "stream_events", batch(spark, event("b", DAY2, played=4)))
+    assert stored(store) == {"b": (DAY2, 4)}
+
+
+def test_a_merge_that_was_cut_off_can_be_run_again(spark, store):
+    """Cut off after the days were rewritten and before what moved away was deleted."""
+    store.merge_events(batch(spark, event("a"), event("b", DAY2)))
+    moved = batch(spark, event("b", DAY1, played=7))
+    failing = Store(spark, store.root)
+    object.__setattr__(failing, "_drop_stale_days", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        failing.merge_events(moved)
+    store.merge_events(moved)
+    assert stored(store) == {"a": (DAY1, 1), "b": (DAY1, 7)}
+
+
+def test_merging_twice_equals_once(spark, store):
+    import random
+
+    rng, model = random.Random(3), {}
+    for step in range(4):
+        rows = [event(f"k{rng.randrange(6)}", rng.choice([DAY1, DAY2]), rng.randrange(90))
+                for _ in range(5)]
+        rows = list({r[0]: r for r in rows}.values())
+        for _ in range(2):
+            store.merge_events(batch(spark, *rows))
+        model |= {r[0]: (r[3].date(), r[4]) for r in rows}
+        assert stored(store) == model
+
+
 def test_broken_page_stops_the_load(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"data": [{"album_id": ')
     with pytest.raises(Exception, match="(?i)malformed"):
@@ -176,7 +282,16 @@ def test_daily_load_build_test_check_report(spark, store, tmp_path):
     assert len(stored(store)) == len(EVENTS)
 
     jobs.build(store)
-    assert spark.table("int_enriched_events").count() == len(EVENTS)
+    other = spark.newSession()  # sees the catalog, but no temporary views
+    enriched = other.table("dev_intermediate.int_enriched_events")
+    expected = jobs.enriched(jobs.staged_models(store))
+    assert enriched.schema.names == expected.schema.names
+    assert sorted(enriched.collect(), key=str) == sorted(expected.collect(), key=str)
+    for model, df in jobs.staged_models(store).items():
+        assert other.table(f"dev_staging.{model}").columns == df.columns
+    assert other.sql("SELECT * FROM dev_raw.stream_events WHERE event_date = DATE '2025-01-04'"
+                     ).count() == 6
+    assert other.table("dev_marts.user_activity").count() == 3
     daily = store.read("marts", "daily_listening_stats").collect()
     assert {r.event_date: r.total_streams for r in daily} == {DAY1: 3, DAY2: 6}
     results = jobs.test(store)
@@ -222,7 +337,7 @@ def test_command_line(spark, tmp_path, capsys):
 def test_merge_stream_equals_the_batch_load(spark, store, tmp_path):
     land(spark, tmp_path / "landing")
     for n in range(3):  # the same page arrives three times
-        pages = spark.read.text(f"{tmp_path}/landing/stream_events")
+        pages = spark.read.text(f"{tmp_path}/landing/stream_events").select("value")
         pages.write.mode("append").text(f"{tmp_path}/arriving")
     stream = landing.stream_pages(spark, f"{tmp_path}/arriving", "stream_events", 1)
     for _ in range(2):
@@ -230,24 +345,50 @@ def test_merge_stream_equals_the_batch_load(spark, store, tmp_path):
         assert len(stored(store)) == len(EVENTS)
 
 
-def test_stream_dedup_and_daily(spark, tmp_path):
+def test_stream_keeps_late_events_and_drops_copies(spark, tmp_path):
+    """Batches of one file each: a new event, one ten days older, and copies of both."""
+    old = event("old", date(2024, 12, 24))
+    for rows in ([event("new", DAY2)], [old, event("new2", DAY2)], [old, event("new", DAY2)]):
+        batch(spark, *rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(RAW["stream_events"]).option(
+            "maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ingest.to_table(ingest.deduplicated(stream), f"{tmp_path}/out", f"{tmp_path}/c"
+                        ).awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.event_id for r in kept) == ["new", "new2", "old"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_daily_stream_in_any_zone(spark, tmp_path, zone):
     events = raw_tables(spark)["stream_events"].where("event_id <> 'e6'")
     events.write.parquet(f"{tmp_path}/in")
-    events.write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(RAW["stream_events"]).parquet(f"{tmp_path}/in")
-    ingest.to_table(ingest.deduplicated(stream), f"{tmp_path}/out", f"{tmp_path}/c1"
-                    ).awaitTermination()
-    once = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(once.collect(), key=str) == sorted(events.collect(), key=str)
-
-    stream = spark.readStream.schema(RAW["stream_events"]).parquet(f"{tmp_path}/out")
-    ingest.latest_totals(ingest.daily_stats(stream), f"{tmp_path}/days", f"{tmp_path}/c2"
-                         ).awaitTermination()
-    days = {r.event_date: r for r in spark.read.parquet(f"{tmp_path}/days").collect()}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        stream = spark.readStream.schema(RAW["stream_events"]).parquet(f"{tmp_path}/in")
+        ingest.latest_totals(ingest.daily_stats(stream), f"{tmp_path}/days", f"{tmp_path}/c2"
+                             ).awaitTermination()
+        days = {r.event_date: r for r in spark.read.parquet(f"{tmp_path}/days").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert {d: r.total_streams for d, r in days.items()} == {DAY1: 3, DAY2: 5}
     assert days[DAY2].avg_pct_played == pytest.approx((90 + 10 + 12.3 + 6.6 + 1) / 5)
 
 
+def test_a_page_without_data_stops_the_stream(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"page": 1, "error": "x"}')
+    stream = landing.stream_pages(spark, str(tmp_path), "users")
+    with pytest.raises(Exception, match="no data"):
+        ingest.to_table(stream, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+
+
+def test_scratch_folder_is_shared_or_refused():
+    assert default_root("yarn", "hdfs://nn:8020").startswith("hdfs://nn:8020/tmp/checkpoints/")
+    assert default_root("local[8]", "file:///").startswith("file:/tmp/checkpoints/")
+    for master in ("yarn", "spark://h:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            default_root(master, "file:///")
+
+
 def test_checkpoint_folder_stays_the_same(spark):
     root = checkpoint_root(spark)
     assert checkpoint_root(spark) == root
@@ -256,7 +397,7 @@ def test_checkpoint_folder_stays_the_same(spark):
 
 def test_checkpoint_folder_named_by_the_session(tmp_path):
     code = (
-        "from pyspark.sql import SparkSession; from tunelake.session import checkpoint_root; "
+        "from pyspark.sql import SparkSession; from tunelake.session import checkpoint_root, default_root; "
         f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
         f".config('spark.checkpoint.dir', '{tmp_path}').getOrCreate(); print(checkpoint_root(s))"
     )

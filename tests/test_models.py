@@ -1,5 +1,7 @@
 """Staging, enrichment and marts on the awkward rows, in both join strategies."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,23 @@ def test_marts_equal_grouping_the_enriched_events(spark, models):
         from fact group by event_date""")
     mart = marts.daily_listening_stats(*inputs).select(plain.columns)
     assert sorted(mart.collect()) == sorted(plain.collect())
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_user_activity_reads_events_twice_and_meets_the_catalog_once(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        mart = marts.user_activity(*mart_inputs(staged(spark)))
+        plan = mart._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    pairs = [x for x in lines if re.search(r"Exchange hashpartitioning\(user_id#\d+, track_id#\d+", x)]
+    assert len(pairs) == 1
+    values = [x for x in lines if re.search(
+        r"Exchange hashpartitioning\(user_id#\d+, kind#\d+, value#\d+", x)]
+    assert len(values) == 1
+    scans = sum("Scan parquet" in x and "ms_played" in x or "Scan parquet" in x and "track_id" in x
+                and "user_id" in x for x in lines)
+    # With nothing broadcast, the hot tracks are counted in a pass of their own.
+    assert scans == 2

@@ -42,15 +42,19 @@ def test_lookup_refuses_ambiguous_columns(spark):
         lookups.lookup(fact, fact, "k")
 
 
-@pytest.mark.parametrize("max_strays", [0, 2, 1000])
-def test_known_key(spark, no_broadcast, monkeypatch, max_strays):
+@pytest.mark.parametrize("threshold", ["-1", "100", "1m"])
+def test_known_key(spark, no_broadcast, monkeypatch, threshold):
     """No strays, few strays and too many strays to broadcast give the same."""
-    monkeypatch.setattr(lookups, "MAX_STRAYS", max_strays)
+    monkeypatch.setattr(lookups, "fits_broadcast", lambda dim: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     fact = spark.createDataFrame(skewed(), "id long, k long")
     for known in (range(200), range(150)):
         dim = spark.createDataFrame([(k,) for k in known], "k long")
-        found = dict(lookups.known_key(fact, dim, "k", spread="id").collect())
-        assert found == {i: k if k is not None and k in known else None for i, k in skewed()}
+        found = lookups.known_key(fact, dim, "k", spread="id")
+        assert ("__stray" in found._jdf.queryExecution().analyzed().toString()) == (
+            threshold == "1m" and any(k not in known for _, k in skewed() if k is not None))
+        assert dict(found.collect()) == {
+            i: k if k is not None and k in known else None for i, k in skewed()}
 
 
 def test_broadcast_follows_the_threshold(spark, no_broadcast):
@@ -83,14 +87,6 @@ def test_pareto_share_of_counted_rows(spark):
     assert pareto_share(df, "k", weight="n").first().top_pct == pytest.approx(100 * 8 / 12)
 
 
-def test_most_frequent(spark):
-    rows = [("u", "g", "b", 2), ("u", "g", "a", 1), ("u", "g", "a", 1), ("u", "g", None, 9),
-            ("u", "p", "z", 1), ("v", "p", None, 1)]
-    counts = spark.createDataFrame(rows, "user string, kind string, value string, n long")
-    got = ranking.most_frequent(counts, "user", {"g": "genre", "p": "platform"}).collect()
-    assert [tuple(r) for r in got] == [("u", "a", "z")]
-
-
 def test_top_per_group_limits_before_the_shuffle(spark):
     df = spark.range(10_000).selectExpr("id % 3 as g", "id as k", "id % 100 as n")
     top = ranking.top_per_group(df, "g", "n", "k", 5)

@@ -24,11 +24,14 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     load.add_argument("--landing", required=True, help="folder of landed pages, one per table")
     load.add_argument("--start-date", help="first day, YYYY-MM-DD; yesterday by default")
     load.add_argument("--dry-run", action="store_true", help="only show the days")
+    stays = {"action": "store_true", "help": "an event's key never changes its day"}
+    load.add_argument("--day-in-key", **stays)
     fill = job.add_parser("backfill", parents=[common], help="load a history of raw tables")
     fill.add_argument("--history", required=True, help="folder of raw Parquet tables")
     fill.add_argument("--start-date", required=True)
     fill.add_argument("--end-date", help="last day; yesterday by default")
     fill.add_argument("--skip-reference", action="store_true", help="leave the dimensions alone")
+    fill.add_argument("--day-in-key", **stays)
     job.add_parser("build", parents=[common], help="rebuild the marts")
     job.add_parser("test", parents=[common], help="run the data tests")
     job.add_parser("check", parents=[common], help="run the pattern checks")
@@ -52,10 +55,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = build_session()
     store = Store(spark, args.root, args.env)
     if args.job == "load":
-        jobs.daily_load(store, args.landing, args.start_date)
+        jobs.daily_load(store, args.landing, args.start_date, day_in_key=args.day_in_key)
     elif args.job == "backfill":
         history = {t: read_raw(spark, f"{args.history}/{t}", t) for t in RAW}
-        jobs.backfill(store, history, args.start_date, args.end_date, args.skip_reference)
+        jobs.backfill(store, history, args.start_date, args.end_date, args.skip_reference,
+                      day_in_key=args.day_in_key)
     elif args.job == "build":
         jobs.build(store)
     elif args.job == "test":

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tunelake.session import checkpoint_root
 
 HOT_SHARE = 20_000
-MAX_STRAYS = 200_000
+#: What a key takes in a broadcast besides its own bytes, about.
+ROW_BYTES = 32
 
 
 def fits_broadcast(dim: DataFrame) -> bool:
@@ -96,18 +97,19 @@ def known_key(fact: DataFrame, dim: DataFrame, key: str, spread: str) -> DataFra
     """``fact`` with ``key`` set to NULL where ``dim`` has no such row.
 
     With a dimension too large to broadcast, it first finds the fact's orphan keys: usually none,
-    as the data tests ask for, and then the fact needs no join. A few are checkpointed and, their
-    number being checked, broadcast; only beyond ``MAX_STRAYS`` does the fact shuffle.
+    as the data tests ask for, and then the fact needs no join. They are written to the shared
+    folder and broadcast if they are small by the session's threshold; otherwise the fact shuffles.
     """
     keys = dim.select(key)
     if not fits_broadcast(keys):
         checkpoint_root(fact.sparkSession)
-        strays = orphans(fact, dim, key, key).selectExpr(f"{key} as __stray")
-        strays = strays.limit(MAX_STRAYS + 1).checkpoint()
-        n_strays = strays.count()
-        if n_strays == 0:
+        strays = orphans(fact, dim, key, key).selectExpr(f"{key} as __stray").checkpoint()
+        size = f"coalesce(sum(octet_length(cast(__stray as string)) + {ROW_BYTES}), 0)"
+        n_bytes = strays.agg(F.expr(size)).first()[0]
+        if not n_bytes:
             return fact
-        if n_strays <= MAX_STRAYS:
+        conf = fact.sparkSession._jsparkSession.sessionState().conf()
+        if n_bytes <= conf.autoBroadcastJoinThreshold():
             marked = fact.join(F.broadcast(strays), F.expr(f"{key} = __stray"), "left")
             return marked.selectExpr(
                 *(f"if(__stray is null, {c}, null) as {c}" if c == key else c

@@ -1,7 +1,7 @@
 """Data tests. A test is a query for failing rows; it passes when there are none.
 
-The ``*_failures`` functions return those rows, :func:`outcome` counts them, and :func:`not_null`
-counts the NULLs of many columns in one pass.
+The ``*_failures`` functions return those rows, :func:`outcome` counts them, and
+:func:`column_checks` counts the NULLs and strange values of many columns in one pass.
 """
 
 from __future__ import annotations
@@ -14,22 +14,12 @@ from pyspark.sql import functions as F
 from tunelake.operators.lookups import orphans
 
 
-def null_failures(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNull())
-
-
 def duplicate_failures(df: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once, with their number; NULLs are ignored."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.expr("count(*) as n_rows"))
     return counts.where("n_rows > 1")
 
 
-def value_failures(df: DataFrame, column: str, accepted: list[str]) -> DataFrame:
-    """Values outside the list, with their number; NULLs are ignored."""
-    strange = df.where(~F.col(column).isin(accepted))
-    return strange.groupBy(column).agg(F.expr("count(*) as n_rows"))
-
-
 def orphan_failures(child: DataFrame, column: str, parent: DataFrame, field: str) -> DataFrame:
     """Keys without a parent row, with their number of child rows; NULLs are ignored."""
     return orphans(child, parent, column, field)
@@ -55,12 +45,32 @@ def outcome(failures: DataFrame, column: str, test: str, count: str = "count(*)"
     )
 
 
-def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (column, test, n_failed) per column, from a single pass over the frame."""
-    counts = df.agg(*(F.expr(f"count_if({c} is null) as {c}") for c in columns))
-    pairs = ", ".join(f"'{c}', {c}" for c in columns)
-    return counts.selectExpr(f"stack({len(columns)}, {pairs}) as (column, n_failed)").selectExpr(
-        "column", "'not_null' as test", "n_failed"
+def column_checks(
+    df: DataFrame, not_null: list[str], accepted: dict[str, list[str]]
+) -> DataFrame:
+    """One row (column, test, n_failed) per check, from a single pass over the frame: the number of
+    NULLs, and the number of different values outside a list (NULLs are ignored there). Only what
+    fails leaves a task, counted per value."""
+    checks = [(c, "not_null", f"{c} is null", "null") for c in not_null]
+    checks += [
+        (c, "accepted_values", f"{c} not in ({', '.join(map(repr, values))})", c)
+        for c, values in accepted.items()
+    ]
+    # An explode per row only of what fails; a check is known by its number.
+    rows = ", ".join(
+        f"if({failed}, struct({i} as check, cast({value} as string) as value), null)"
+        for i, (_, _, failed, value) in enumerate(checks)
+    )
+    per_value = df.selectExpr(f"explode(array_compact(array({rows}))) as f").groupBy(
+        "f.check", "f.value").agg(F.expr("count(*) as n"))
+    counts = per_value.groupBy("check").agg(
+        F.expr("sum(n) as n_rows"), F.expr("count(value) as n_values"))
+    names = ", ".join(f"struct({i} as check, '{c}' as column, '{t}' as test)"
+                      for i, (c, t, _, _) in enumerate(checks))
+    known = df.sparkSession.range(1).selectExpr(f"inline(array({names}))")
+    return known.join(counts, "check", "left").selectExpr(
+        "column", "test",
+        "coalesce(if(test = 'not_null', n_rows, n_values), 0) as n_failed",
     )
 
 

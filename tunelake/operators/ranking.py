@@ -1,4 +1,4 @@
-"""Top rows per group and most frequent values per key."""
+"""Top rows per group."""
 
 from __future__ import annotations
 
@@ -15,22 +15,3 @@ def top_per_group(
     order = f"partition by {group} order by {by} desc, {tiebreak} asc nulls last"
     top = df.selectExpr("*", f"row_number() over ({order}) as {rank}").where(f"{rank} <= {k}")
     return top.withColumn(rank, F.col(rank).cast("bigint"))
-
-
-def most_frequent(counts: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """Per key, the most frequent value of each kind; ties go to the lowest value, NULLs are
-    ignored.
-
-    ``counts`` holds (key, kind, value, n), possibly several rows per value; ``columns`` maps a
-    kind to its output column. Values are counted in a shuffle on (key, kind, value), so a key
-    with very many rows is spread over tasks and arrives at the last step as one row per value.
-    """
-    totals = (
-        counts.where("value is not null").groupBy(key, "kind", "value")
-        .agg(F.expr("sum(n) as n"))
-    )
-    best = totals.groupBy(key).agg(*(
-        F.expr(f"min(case when kind = '{kind}' then struct(-n as place, value) end) as {column}")
-        for kind, column in columns.items()
-    ))
-    return best.selectExpr(key, *(f"{column}.value as {column}" for column in columns.values()))

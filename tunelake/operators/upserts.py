@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def refuse_null_keys(batch: DataFrame, key: str) -> None:
+    """A key that is NULL identifies nothing: a batch that has one is an error. Reads the key column
+    only."""
+    missing = batch.where(F.col(key).isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} rows of the batch have no {key}")
+
+
 def one_per_key(df: DataFrame, key: str, latest_by: str | None = None, keep: str = "last") -> DataFrame:
     """One row per key: the last (or first) by ``latest_by``. Rows that tie, or all rows if there
     is no such column, are ordered by their content, so a rerun picks the same one. Copies of one

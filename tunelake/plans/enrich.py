@@ -7,6 +7,22 @@ from pyspark.sql import DataFrame
 from tunelake.operators.lookups import lookup
 
 
+#: The columns of an enriched event, by the model they come from.
+ENRICHED = {
+    "event": [
+        "event_id", "started_at", "event_date", "ms_played", "track_duration_ms", "pct_played",
+        "is_completed", "is_skipped", "device_type", "platform", "is_shuffle", "is_offline",
+    ],
+    "track": [
+        "track_id", "track_title", "genre", "release_year", "is_explicit", "tempo_bpm",
+        "energy_score", "duration_ms as track_duration_ms_catalog",
+    ],
+    "artist": ["artist_id", "artist_name", "country as artist_country"],
+    "user": ["user_id", "username", "country as user_country", "subscription_type", "age_group",
+             "joined_date"],
+}
+
+
 def catalog(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     """Staged tracks with their artist. ``artist_id`` is the artist's own: NULL if the track names
     an artist that does not exist. Joining the dimensions first means a fact needs one lookup to
@@ -31,15 +47,4 @@ def enriched_events(
     )
     fact = lookup(events, song, "track_id", spread="event_id")
     fact = lookup(fact, listener, "user_id", spread="event_id", keys_of=events)
-    return fact.select(
-        # event
-        "event_id", "started_at", "event_date", "ms_played", "track_duration_ms", "pct_played",
-        "is_completed", "is_skipped", "device_type", "platform", "is_shuffle", "is_offline",
-        # track
-        "track_id", "track_title", "genre", "release_year", "is_explicit", "tempo_bpm",
-        "energy_score", "track_duration_ms_catalog",
-        # artist
-        "artist_id", "artist_name", "artist_country",
-        # user
-        "user_id", "username", "user_country", "subscription_type", "age_group", "joined_date",
-    )
+    return fact.select(*(c.rsplit(" as ", 1)[-1] for names in ENRICHED.values() for c in names))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,9 @@ from tunelake.plans.enrich import enriched_events
 from tunelake.plans.patterns import pattern_summary
 from tunelake.plans.quality_suite import all_tests
 from tunelake.plans.staging import stage
-from tunelake.schemas import DIMENSIONS, RAW
-from tunelake.sinks.store import EVENTS, Store
+from tunelake.schemas import DIMENSIONS, EVENTS, RAW
+from tunelake.sinks.catalog import publish
+from tunelake.sinks.store import Store
 from tunelake.sources.landing import read_pages
 from tunelake.sources.tables import day_range, events_between
 
@@ -32,17 +34,22 @@ def daily_load(
     start: str | None = None,
     today: date | None = None,
     dry_run: bool = False,
+    day_in_key: bool = False,
 ) -> tuple[date, date]:
     """Load landed pages: dimensions are replaced, and events from ``start`` to yesterday (by
-    default yesterday only) are merged on their key. A dry run only works out the days."""
+    default yesterday only) are merged on their key. Only the pages of these days are opened, and
+    nothing is written unless all pages are complete. With ``day_in_key`` (see the merge) the load
+    costs no more than its days. A dry run only works out the days."""
     first, last = day_range(start, None, today)
     if dry_run:
         return first, last
     store.create_raw_tables()
-    for table in DIMENSIONS:
-        store.replace("raw", table, read_pages(store.spark, f"{landing}/{table}", table))
-    events = read_pages(store.spark, f"{landing}/{EVENTS}", EVENTS)
-    store.merge_events(events_between(events, first, last))
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
+    found = {t: read_pages(store.spark, f"{landing}/{t}", t) for t in DIMENSIONS}
+    events = read_pages(store.spark, f"{landing}/{EVENTS}", EVENTS, days)
+    for table, df in found.items():
+        store.replace("raw", table, df)
+    store.merge_events(events_between(events, first, last), day_in_key=day_in_key)
     return first, last
 
 
@@ -53,6 +60,7 @@ def backfill(
     end: str | None = None,
     skip_reference: bool = False,
     today: date | None = None,
+    day_in_key: bool = False,
 ) -> tuple[date, date]:
     """Load the days from ``start`` to ``end`` (yesterday by default) of a history of raw tables,
     all in one job: dimension rows replace stored ones, stored events win over new ones."""
@@ -61,7 +69,8 @@ def backfill(
     if not skip_reference:
         for table in DIMENSIONS:
             store.insert_or_replace(table, history[table])
-    store.insert_or_ignore(EVENTS, events_between(history[EVENTS], first, last))
+    store.insert_or_ignore(
+        EVENTS, events_between(history[EVENTS], first, last), day_in_key=day_in_key)
     return first, last
 
 
@@ -69,11 +78,13 @@ def staged_models(store: Store) -> dict[str, DataFrame]:
     return stage({table: store.read("raw", table) for table in RAW})
 
 
-def build_marts(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The marts as frames, by name."""
+def build_marts(
+    staged: dict[str, DataFrame], names: Iterable[str] = tuple(MARTS)
+) -> dict[str, DataFrame]:
+    """The named marts as frames, by name."""
     inputs = (staged["stg_stream_events"], staged["stg_tracks"], staged["stg_artists"],
               staged["stg_users"])
-    return {name: build(*inputs) for name, build in MARTS.items()}
+    return {name: MARTS[name](*inputs) for name in names}
 
 
 def enriched(staged: dict[str, DataFrame]) -> DataFrame:
@@ -82,23 +93,17 @@ def enriched(staged: dict[str, DataFrame]) -> DataFrame:
 
 
 def build(store: Store, parallel: int = 4) -> None:
-    """Rebuild the mart tables from the raw tables. Staged models and enriched events are not
-    stored; they are registered as views. The marts are submitted side by side, so that one's last
-    tasks do not leave the cluster idle."""
-    staged = staged_models(store)
-    register_views({**staged, "int_enriched_events": enriched(staged)})
+    """Rebuild the mart tables from the raw tables, and enter all models in the session catalog:
+    staged models and enriched events as views, the rest as tables. The marts are submitted side
+    by side, so that one's last tasks do not leave the cluster idle."""
     with ThreadPoolExecutor(parallel) as pool:
         writes = [
             pool.submit(store.replace, "marts", name, df)
-            for name, df in build_marts(staged).items()
+            for name, df in build_marts(staged_models(store)).items()
         ]
         for write in writes:
             write.result()
-
-
-def register_views(models: dict[str, DataFrame]) -> None:
-    for name, df in models.items():
-        df.createOrReplaceTempView(name)
+    publish(store, list(MARTS))
 
 
 def stored_models(store: Store) -> dict[str, DataFrame]:
@@ -115,9 +120,11 @@ def test(store: Store) -> DataFrame:
 
 
 def check(store: Store) -> DataFrame:
-    """The pattern checks, as (check, value, threshold, status)."""
-    staged = staged_models(store)
-    return pattern_summary(staged["stg_stream_events"], staged["stg_tracks"])
+    """The pattern checks, as (check, value, threshold, status). The checks on days read the built
+    daily mart where there is one."""
+    staged, mart = staged_models(store), "daily_listening_stats"
+    daily = store.read("marts", mart) if store.exists("marts", mart) else None
+    return pattern_summary(staged["stg_stream_events"], staged["stg_tracks"], daily)
 
 
 def count_rows(tables: dict[str, DataFrame]) -> DataFrame:

@@ -4,8 +4,7 @@ They give what grouping the enriched events would give, but aggregate *before* t
 events are first reduced to one row per (day, user), (day, track) and so on, combined within each
 task, and only those rows meet a dimension. Raw events never shuffle on a user or track id alone,
 so neither a hot user nor a hot track ends up in one task, and a dimension too large to broadcast
-costs a shuffle of the reduced rows only. The one exception, the audience of a genre, needs each
-event's genre first and salts its hot tracks.
+costs a shuffle of the reduced rows only. A track's rows may still be many there: hot ones are salted.
 
 Dimension keys are unique (the loads keep them so, and the data tests check it).
 """
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tunelake.functions import measures as m
 from tunelake.operators.lookups import known_key, lookup
-from tunelake.operators.ranking import most_frequent, top_per_group
+from tunelake.operators.ranking import top_per_group
 from tunelake.plans.enrich import catalog
 from tunelake.schemas import PLATFORMS, SUBSCRIPTION_TYPES
 
@@ -160,10 +159,11 @@ def genre_trends(
         .drop("artist_id")
     )
 
-    # Each event meets the catalog here, so only the needed columns go along.
-    plays = events.select("event_date", "track_id", "user_id", "event_id")
+    # A user's repeated plays of a track on a day are one row before they meet the catalog.
+    plays = events.select("event_date", "track_id", "user_id").distinct()
     audience = (
-        lookup(plays, songs.select("track_id", "genre"), "track_id", spread="event_id")
+        lookup(plays, songs.select("track_id", "genre"), "track_id", spread="user_id",
+               keys_of=events)
         .where("genre is not null").select("event_date", "genre", "user_id").distinct()
     )
     listeners = lookup(audience, users.select("user_id"), "user_id").selectExpr(
@@ -191,59 +191,64 @@ def user_activity(
 ) -> DataFrame:
     """One row per user, with zeros for a user who never listened.
 
-    The events are reduced by the user's day, by the user's track, and by the user's platforms and
-    devices. Each is counted in a shuffle on all its keys, so even the busiest user's events are
-    spread over tasks.
+    The events are reduced twice: by the user's track, which then meets the catalog, and by the
+    user's day, platform and device. Both become rows of (user, kind, value): what a user heard or
+    used, and how often. These are summed once on all three, so that even the busiest user's rows
+    are spread over tasks, and arrive at the user as one row per value.
     """
-    days = events.groupBy("user_id", "event_date").agg(*_exprs(ADDITIVE))
     plays = events.groupBy("user_id", "track_id").agg(F.expr("count(*) as n"))
     songs = catalog(tracks, artists).select("track_id", "artist_id", "genre")
-    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=events)
-
-    performers = heard.groupBy("user_id", "artist_id").agg(*_exprs([
-        "count(track_id) as tracks",
-        "cast(artist_id is not null as int) as artists",
-    ])).drop("artist_id")
-    totals = _stack(days, performers).groupBy("user_id").agg(*_exprs([
-        "sum(streams) as total_streams",
-        "sum(tracks) as unique_tracks",
-        "sum(artists) as unique_artists",
-        "count(event_date) as active_days",
-        f"{m.hours('sum(ms)')} as total_listening_hours",
-        AVG_PCT,
-        COMPLETION_RATE,
-        SKIP_RATE,
-        "min(event_date) as first_stream_date",
-        "max(event_date) as last_stream_date",
-        "sum(shuffles) as shuffle_streams",
-        "sum(offlines) as offline_streams",
-    ]))
+    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=events).selectExpr(
+        "user_id",
+        "stack(2, 'genre', genre, n, 0L, 'artist', cast(artist_id as string), 0L, "
+        "cast(track_id is not null as bigint)) as (kind, value, n, tracks)",
+    )
+    used = events.groupBy("user_id", "event_date", "platform", "device_type").agg(
+        *_exprs(ADDITIVE))
+    names = [a.rsplit(" as ", 1)[1] for a in ADDITIVE]
+    sums, none = ", ".join(names), ", ".join(f"cast(null as {t})" for _, t in used.dtypes[4:])
+    used = used.selectExpr(
+        "user_id",
+        f"stack(3, 'day', cast(event_date as string), {sums}, "
+        f"'platform', platform, streams, {none.split(', ', 1)[1]}, "
+        f"'device', device_type, streams, {none.split(', ', 1)[1]}) as (kind, value, {sums})",
+    ).withColumnRenamed("streams", "n")
+    per_value = _stack(heard, used).groupBy("user_id", "kind", "value").agg(*_exprs([
+        f"sum({c}) as {c}" for c in ("n", "tracks", *names[1:])]))
+
+    def known(kind: str, what: str = "value") -> str:
+        return f"case when kind = '{kind}' and value is not null then {what} end"
+
+    def favourite(kind: str) -> str:
+        return f"min({known(kind, 'struct(-n as place, value)')}).value"
+
+    totals = per_value.withColumn("streams", F.expr("if(kind = 'day', n, null)")).groupBy(
+        "user_id").agg(*_exprs([
+            "sum(streams) as total_streams",
+            "sum(tracks) as unique_tracks",
+            f"count({known('artist')}) as unique_artists",
+            f"count({known('day')}) as active_days",
+            f"{m.hours('sum(ms)')} as total_listening_hours",
+            AVG_PCT,
+            COMPLETION_RATE,
+            SKIP_RATE,
+            f"cast(min({known('day')}) as date) as first_stream_date",
+            f"cast(max({known('day')}) as date) as last_stream_date",
+            "sum(shuffles) as shuffle_streams",
+            "sum(offlines) as offline_streams",
+            f"{favourite('genre')} as top_genre",
+            f"{favourite('platform')} as preferred_platform",
+            f"{favourite('device')} as preferred_device",
+        ]))
 
     def or_zero(column: str) -> str:
         return f"coalesce({column}, 0) as {column}"
 
-    return (
-        users.join(totals, "user_id", "left")
-        .join(favourites(events, heard), "user_id", "left")
-        .selectExpr(
-            "user_id", "username", "country", "subscription_type", "age_group", "joined_date",
-            or_zero("total_streams"), or_zero("unique_tracks"), or_zero("unique_artists"),
-            or_zero("active_days"), or_zero("total_listening_hours"), "avg_pct_played",
-            "completion_rate_pct", "skip_rate_pct", "first_stream_date", "last_stream_date",
-            "top_genre", "preferred_platform", "preferred_device", or_zero("shuffle_streams"),
-            or_zero("offline_streams"),
-        )
-    )
-
-
-def favourites(events: DataFrame, heard: DataFrame) -> DataFrame:
-    """Each user's most frequent genre, platform and device."""
-    counts = heard.selectExpr("user_id", "'genre' as kind", "genre as value", "n").union(
-        events.selectExpr(
-            "user_id", "stack(2, 'platform', platform, 'device', device_type) as (kind, value)",
-            "1L as n",
-        )
+    return users.join(totals, "user_id", "left").selectExpr(
+        "user_id", "username", "country", "subscription_type", "age_group", "joined_date",
+        or_zero("total_streams"), or_zero("unique_tracks"), or_zero("unique_artists"),
+        or_zero("active_days"), or_zero("total_listening_hours"), "avg_pct_played",
+        "completion_rate_pct", "skip_rate_pct", "first_stream_date", "last_stream_date",
+        "top_genre", "preferred_platform", "preferred_device", or_zero("shuffle_streams"),
+        or_zero("offline_streams"),
     )
-    return most_frequent(counts, "user_id", {
-        "genre": "top_genre", "platform": "preferred_platform", "device": "preferred_device",
-    })

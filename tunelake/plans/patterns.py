@@ -61,7 +61,14 @@ def pareto_tracks(events: DataFrame) -> DataFrame:
 def pareto_artists(events: DataFrame, tracks: DataFrame) -> DataFrame:
     """Streams of unknown tracks are left out. Streams are counted per track before the join, so
     the events themselves do not shuffle on a track id."""
-    per_track = events.groupBy("track_id").agg(F.count("*").alias("n"))
+    return _pareto_artists(_per_track(events), tracks)
+
+
+def _per_track(events: DataFrame) -> DataFrame:
+    return events.groupBy("track_id").agg(F.count("*").alias("n"))
+
+
+def _pareto_artists(per_track: DataFrame, tracks: DataFrame) -> DataFrame:
     per_artist = per_track.join(tracks.select("track_id", "artist_id"), "track_id")
     return pareto_share(per_artist, "artist_id", weight="n")
 
@@ -77,18 +84,25 @@ def _verdict(df: DataFrame, check: str, value: str, limit: float, reached: bool)
     )
 
 
-def pattern_summary(events: DataFrame, tracks: DataFrame) -> DataFrame:
+def pattern_summary(
+    events: DataFrame, tracks: DataFrame, daily: DataFrame | None = None
+) -> DataFrame:
     """All six checks as (check, value, threshold, status). A check without enough data has status
-    ``info`` and counts neither way."""
-    daily = daily_volume(events)
+    ``info`` and counts neither way. ``daily`` is the built daily mart; without it the days are
+    counted from the events. The counts per track are the same exchange for tracks and artists."""
+    daily = daily_volume(events) if daily is None else daily
+    per_track = _per_track(events)
     checks = [
         _verdict(weekend_ratio(daily), "weekend_vs_weekday", "ratio", MIN_WEEKEND_RATIO, False),
         _verdict(evening_ratio(events), "evening_vs_overnight", "ratio", MIN_EVENING_RATIO, False),
         _verdict(seasonal_ratio(daily), "winter_vs_summer", "ratio", MIN_SEASON_RATIO, False),
         _verdict(pareto_users(events), "top_users", "top_pct", MIN_USER_SHARE, True),
-        _verdict(pareto_tracks(events), "top_tracks", "top_pct", MIN_TRACK_SHARE, True),
         _verdict(
-            pareto_artists(events, tracks), "top_artists", "top_pct", MIN_ARTIST_SHARE, True
+            pareto_share(per_track, "track_id", weight="n"), "top_tracks", "top_pct",
+            MIN_TRACK_SHARE, True
+        ),
+        _verdict(
+            _pareto_artists(per_track, tracks), "top_artists", "top_pct", MIN_ARTIST_SHARE, True
         ),
     ]
     return reduce(DataFrame.unionByName, checks)

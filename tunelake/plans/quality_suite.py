@@ -92,11 +92,30 @@ RANGE_TESTS = [
 SHARE_TEST = ("genre_trends", "event_date", "pct_of_daily_streams", 99, 101, "shares_sum_to_100")
 
 
+def _value_checks(models: dict[str, DataFrame], nulls: bool, values: bool) -> DataFrame:
+    """The checks that look at single values: one pass over each model that has any."""
+    found = {}
+    for model, columns in COLUMN_TESTS.items():
+        not_null = [c for c, tests in columns.items() if nulls and NOT_NULL in tests]
+        accepted = {c: list(t.values) for c, tests in columns.items() for t in tests
+                    if values and isinstance(t, Accepted)}
+        if model in models and (not_null or accepted):
+            found[model] = [q.column_checks(models[model], not_null, accepted)]
+    return q.suite(found)
+
+
 def not_null_tests(models: dict[str, DataFrame]) -> DataFrame:
-    return q.suite({
-        model: [q.not_null(models[model], [c for c, tests in columns.items() if NOT_NULL in tests])]
-        for model, columns in COLUMN_TESTS.items() if model in models
-    })
+    return _value_checks(models, nulls=True, values=False)
+
+
+def accepted_values_tests(models: dict[str, DataFrame]) -> DataFrame:
+    """``n_failed`` is the number of different values outside the list."""
+    return _value_checks(models, nulls=False, values=True)
+
+
+def value_tests(models: dict[str, DataFrame]) -> DataFrame:
+    """Both of the above, from the same pass."""
+    return _value_checks(models, nulls=True, values=True)
 
 
 def _each(models: dict[str, DataFrame]):
@@ -122,15 +141,6 @@ def unique_tests(models: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def accepted_values_tests(models: dict[str, DataFrame]) -> DataFrame:
-    """``n_failed`` is the number of different values outside the list."""
-    return _collect(
-        (model, q.outcome(
-            q.value_failures(df, column, list(test.values)), column, "accepted_values"))
-        for model, df, column, test in _each(models) if isinstance(test, Accepted)
-    )
-
-
 def relationship_tests(models: dict[str, DataFrame]) -> DataFrame:
     """``n_failed`` is the number of child rows without a parent."""
     return _collect(
@@ -155,10 +165,9 @@ def share_tests(models: dict[str, DataFrame]) -> DataFrame:
 
 
 def all_tests(models: dict[str, DataFrame]) -> DataFrame:
-    """Every declared test over the given models, which should be read from storage: each test
-    scans its model."""
-    result = not_null_tests(models)
-    for tests in (unique_tests, accepted_values_tests, relationship_tests, range_tests,
-                  share_tests):
+    """Every declared test over the given models, which should be read from storage: a model is
+    scanned once for all checks of single values, and once for each other test."""
+    result = value_tests(models)
+    for tests in (unique_tests, relationship_tests, range_tests, share_tests):
         result = result.unionByName(tests(models))
     return result

@@ -52,6 +52,7 @@ PRIMARY_KEY = {
     "users": "user_id",
     "stream_events": "event_id",
 }
+EVENTS = "stream_events"
 DIMENSIONS = ["artists", "albums", "tracks", "users"]
 
 # Accepted values, in their natural order.

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunelake.operators.upserts import new_rows, one_per_key, replace_rows, stored_matches
-from tunelake.schemas import PRIMARY_KEY, RAW
-from tunelake.session import checkpoint_root
+from tunelake.operators.upserts import (
+    new_rows, one_per_key, refuse_null_keys, replace_rows, stored_matches,
+)
+from tunelake.schemas import EVENTS, PRIMARY_KEY, RAW
+from tunelake.session import checkpoint_root, scratch_path
 
-EVENTS, DAY = "stream_events", "event_date"
+DAY = "event_date"
 
 
 def schema_name(layer: str | None, env: str, default: str = "main") -> str:
@@ -60,13 +62,16 @@ class Store:
                 self._write("raw", table, empty, "overwrite")
 
     def replace(self, layer: str, table: str, df: DataFrame) -> None:
-        """The table becomes the frame."""
+        """The table becomes the frame; of events, stored days that the frame lacks go."""
+        if layer == "raw":
+            refuse_null_keys(df, PRIMARY_KEY[table])
         self._write(layer, table, df, "overwrite")
 
     def insert_or_replace(self, table: str, batch: DataFrame, latest_by: str | None = None) -> None:
         """Rows of the batch replace stored rows with the same key; others are added."""
         if table == EVENTS:
             return self.merge_events(batch, latest_by)
+        refuse_null_keys(batch, PRIMARY_KEY[table])
         merged = replace_rows(self.read("raw", table), batch, PRIMARY_KEY[table], latest_by)
         # The table is read and rewritten: the result is put in the shared folder in between.
         checkpoint_root(self.spark)
@@ -78,9 +83,14 @@ class Store:
         """Upsert events by key; running it again changes nothing. Only the days concerned are
         rewritten: those of the batch, and those that hold older copies of its keys. With
         ``day_in_key`` a key never changes its day, and the search for older copies elsewhere,
-        a scan of the stored keys, is left out."""
+        a scan of the stored keys, is left out. The batch itself is evaluated once.
+
+        A run that is cut off may leave some days rewritten and others not, or a moved event in two
+        days: the days are replaced one by one. Running the merge again mends that, as it finds
+        the older copies by key; with ``day_in_key`` no event is ever in two days."""
         key = PRIMARY_KEY[EVENTS]
-        batch = _with_day(batch)
+        batch = self._materialised(_with_day(batch))
+        refuse_null_keys(batch, key)
         keys = batch.select(key).distinct()
         stored = self.read("raw", EVENTS)
         days = _days(batch)
@@ -91,7 +101,8 @@ class Store:
             return
         new = one_per_key(batch, key, latest_by).select(*stored.columns)
         kept = stored.where(_in_days(days | moved)).join(keys, key, "left_anti")
-        self._write("raw", EVENTS, kept.select(*stored.columns).unionByName(new), "overwrite")
+        self._write("raw", EVENTS, kept.select(*stored.columns).unionByName(new), "overwrite",
+                    whole=False)
         self._drop_stale_days(moved, keys)
 
     def insert_or_ignore(
@@ -100,6 +111,7 @@ class Store:
         """Add the rows of the batch whose key is not stored yet; stored rows win."""
         key = PRIMARY_KEY[table]
         stored = self.read("raw", table)
+        refuse_null_keys(batch, key)
         if table == EVENTS:
             batch = _with_day(batch)
             if day_in_key:
@@ -119,15 +131,24 @@ class Store:
             folder = hadoop.Path(f"{self.path('raw', EVENTS)}/{DAY}={value}")
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def _write(self, layer: str, table: str, df: DataFrame, mode: str) -> None:
-        writer = df
+    def _materialised(self, batch: DataFrame) -> DataFrame:
+        """A batch as files in the shared folder, so that it isn't made again for each use."""
+        path = scratch_path(self.spark, "batch")
+        batch.write.parquet(path)
+        return self.spark.read.schema(batch.schema).parquet(path)
+
+    def _write(
+        self, layer: str, table: str, df: DataFrame, mode: str, whole: bool = True
+    ) -> None:
+        """``whole``: an overwrite replaces the table, and not just the days that ``df`` has."""
         if layer == "raw" and table == EVENTS:
             # Few files per day, and a day with very many rows is split over several tasks.
-            writer = _with_day(df).hint("rebalance", DAY)
-        writer = writer.write.mode(mode)
-        if layer == "raw" and table == EVENTS:
-            writer = writer.partitionBy(DAY).option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(layer, table))
+            days = _with_day(df).hint("rebalance", DAY)
+            days.write.mode(mode).partitionBy(DAY).option(
+                "partitionOverwriteMode", "static" if whole else "dynamic"
+            ).parquet(self.path(layer, table))
+        else:
+            df.write.mode(mode).parquet(self.path(layer, table))
 
 
 def _stored_schema(table: str) -> T.StructType:

@@ -8,13 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tunelake.functions import measures as m
 from tunelake.plans.staging import stg_stream_events
-from tunelake.schemas import PLATFORMS
-from tunelake.sinks.store import EVENTS, Store
-
-
-def with_event_time(events: DataFrame) -> DataFrame:
-    """Watermarks need a timestamp with a time zone; run the session in UTC."""
-    return events.withColumn("event_time", events["started_at"].cast("timestamp"))
+from tunelake.schemas import EVENTS, PLATFORMS
+from tunelake.sinks.store import Store
 
 
 def merge_stream(
@@ -35,20 +30,22 @@ def merge_stream(
 
 
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each event id once, given that its copies arrive within ``delay`` of each other. State is
-    kept no longer than that."""
+    """Each event id once, given that its copies arrive within ``delay`` of each other. What counts
+    is when an event arrives, not when it happened, so an event may be as old as it likes. State
+    is kept no longer than ``delay``."""
     return (
-        with_event_time(events).withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
+        events.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", delay)
+        .dropDuplicatesWithinWatermark(["event_id"]).drop("__arrived")
     )
 
 
-def daily_stats(raw_events: DataFrame, delay: str = "1 day") -> DataFrame:
+def daily_stats(raw_events: DataFrame) -> DataFrame:
     """The additive daily measures over one-day windows. Distinct counts are not among them: exact
     ones would keep every id of a day as state. A day with very many events is combined within
-    each task before it reaches its state, which is one row."""
-    staged = with_event_time(stg_stream_events(raw_events)).withWatermark("event_time", delay)
-    return staged.groupBy(F.window("event_time", "1 day")).agg(*map(F.expr, [
+    each task before it reaches its state, which is one row. Windows are cut in the events' own
+    time, which has no zone; all days are kept, so there is no watermark."""
+    staged = stg_stream_events(raw_events)
+    return staged.groupBy(F.window("started_at", "1 day")).agg(*map(F.expr, [
         "count(*) as streams",
         "sum(ms_played) as ms",
         f"sum({m.tenths('pct_played')}) as tenths",
