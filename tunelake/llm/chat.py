@@ -245,7 +245,8 @@ def recovered(transcripts: DataFrame, model: Model, text: str | Column = "text",
     chunks = rows.select("conv", F.coalesce("chunk", F.lit(-(2**62))).alias("chunk")).distinct()
     rows = rows.withColumn("chunk", F.coalesce("chunk", F.lit(-(2**62))))
     spread = chunks.groupBy("conv").agg(F.count("*").alias("n"), F.min("chunk").alias("least"))
-    long_ones = spread.where("n > 1")
+    # Stored, so that the joins with it can split a transcript that has a large part of all rows.
+    long_ones = stored(spread.where("n > 1"), "long")
 
     # Whether the line before a chunk is blank: the last line of the last segment before it.
     def last_line(key: tuple, held: list[dict]) -> list[dict]:

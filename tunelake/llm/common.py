@@ -14,6 +14,7 @@ from tunelake.session import scratch_path
 SIZE_WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the map of wanted rows (see ``among``); with very many rows it lets more through.
 MAP_BITS = 1 << 25
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +25,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there, so a lost
     executor costs a reread and not the work before."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # Unlike the default codec, zstd leaves no buffers outside the heap behind, file by file.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,6 +74,14 @@ def word_count(name: str) -> Column:
     return F.regexp_count(filled(name), F.lit(SIZE_WORD)).cast("bigint")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows go to Python at once: with long texts, Spark's default of 10,000 rows
+    may fill a task's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that long texts don't add up."""
     for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled
+from tunelake.llm.common import batches_of, filled, small_batches
 
 # The base phrases and their labels.
 BASE = (
@@ -297,5 +297,6 @@ def scanned(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> Data
                                               ("label", pa.string())])))])
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(row_id).cast("long").alias("doc_id"), filled(text).alias("__text")
                        ).mapInArrow(scan, SCHEMA)

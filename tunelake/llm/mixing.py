@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import SIZE_WORD, fresh, stored, word_count
+from tunelake.llm.common import SIZE_WORD, fresh, small_batches, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: numpy draws a split exactly up to this many slots; above, the split is in proportion (the draw
@@ -287,6 +287,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """The documents of the mix, with the columns of ``docs``: for each pass over its source, a
     row whose text is what that pass takes of it (whole documents as they are, parts as runs of
     their words; ``n_chars``, if there, is counted anew)."""
+    small_batches(docs.sparkSession)
     mix = mixed(docs, text, **options)
     row, got = fresh(docs, "__row"), fresh(docs, "__mix")
     parts = mix.spans.groupBy("__row", "epoch").agg(

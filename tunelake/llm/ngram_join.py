@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import among, batches_of, filled, stored, without_rows
+from tunelake.llm.common import among, batches_of, filled, small_batches, stored, without_rows
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 6
@@ -364,6 +364,7 @@ def near_duplicates(
     there is no other. An empty table gives an empty result; other columns are not looked at.
     ``docs`` has to give the same rows in the same order each time it is read.
     """
+    small_batches(docs.sparkSession)
     steps = depth
     seeds = np.random.default_rng(seed).integers(0, 2**63, trees * steps, dtype=np.uint64)
     rows = docs.select(F.monotonically_increasing_id().alias("__row"),

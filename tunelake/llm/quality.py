@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import filled
+from tunelake.llm.common import filled, small_batches
 
 PASSAGE = 128
 #: Documents below this score are rejected.
@@ -241,6 +241,7 @@ def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str =
                 pa.array([x[e - n:e].astype(np.float32).tobytes() for e, n in zip(ends, bags)]),
             ], ["__doc", "__y", "__x"])
 
+    small_batches(docs.sparkSession)
     # At most ``sample`` lines are sent to the tasks, so that the documents needn't move.
     rows = docs.select(F.col(row_id).cast("long").alias("__doc"), filled(text).alias("__text")
                        ).join(F.broadcast(chosen), "__doc").select("__doc", "__y", "__text")
@@ -259,6 +260,8 @@ def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     rows are scored each, alike. An empty table gives an empty result. Texts are read whole. A
     column of ``docs`` of that name is replaced.
     """
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def measured(texts: pd.Series) -> pd.Series:
         out = []

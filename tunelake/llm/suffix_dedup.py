@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import among, batches_of, filled, stored
+from tunelake.llm.common import among, batches_of, filled, small_batches, stored
 from tunelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, WINDOW = 200, 72
@@ -269,6 +269,7 @@ def without_repeats(
     columns are not looked at. ``docs`` has to give the same rows in the same order each time it is
     read. Strings are judged on the input, not on what is left, and never cross texts.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.monotonically_increasing_id().alias("__row"),
                         F.col(row_id).alias("__id"), filled(text).alias("__text"))
     anchored = stored(_anchored(texts.select("__row", "__text"), length, window), "anchors")
@@ -280,9 +281,10 @@ def without_repeats(
         F.count("*").alias("copies"), F.min(F.struct("__row", "start", "n")).alias("one"),
         F.bool_or("loops").alias("loops")), "contexts")
     # An anchor's only context needs no search if it has copies, or can't repeat in itself.
-    several = distinct.groupBy("anchor").agg(
+    # Stored, so that the join below can split a common anchor.
+    several = stored(distinct.groupBy("anchor").agg(
         F.count("*").alias("different"), F.bool_or(F.expr("loops and copies = 1")).alias("self")
-    ).where("different > 1 or self")
+    ).where("different > 1 or self"), "several")
     wanted = distinct.join(several, "anchor").select(
         "one.*", "anchor", "context", "copies", (F.col("different") > MANY).alias("many"))
     maybe = among(texts, repeated)

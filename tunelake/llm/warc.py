@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled, stored
+from tunelake.llm.common import batches_of, filled, small_batches, stored
 
 INDEX = ("page_id long, url string, path string, offset long, length long, payload_bytes long, "
          "payload_digest string, record_type string, refers_to long")
@@ -121,7 +121,9 @@ def write_archives(
     (a null page_id only if there is no other; of repeated rows, the last in the scan), the others
     are revisits. An empty table gives an empty index; other columns are not looked at.
     """
+    small_batches(pages.sparkSession)
     rows, groups = with_revisits(pages, html, page_id, url, min_bytes)
+    groups = stored(groups, "equal-pages")  # the join with it can then split a large group
     # Only pages that refer to another one pass a join; it is on digests, not on texts.
     known = rows.join(groups, ["__sha", "payload_bytes"]).where(
         "__row <> __first.__row"
