@@ -31,7 +31,8 @@ def cheapest(size: int, lengths: Sequence[int], overhead: int, to_come: np.ndarr
     """The length to open for a piece; ``to_come[n]`` is the sum of coming pieces up to length n."""
     def unit_cost(length: int) -> float:
         room = length - size
-        return (length + overhead) / (size + min(room, int(to_come[min(room, len(to_come) - 1)])))
+        filled = size + min(room, int(to_come[min(room, len(to_come) - 1)]))
+        return (length + overhead) / max(1, filled)  # only empty pieces may be left
 
     return min((x for x in lengths if x >= size), key=lambda x: (unit_cost(x), x))
 
