@@ -34,7 +34,7 @@ WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Licences by name: label, keyword, expression over lower-case text. A blank in an expression
-# stands for any white space. Those of one family go from special to general; a longer detection
+# stands for any white space, and one with a question mark for any or none. Those of one family go from special to general; a longer detection
 # wins anyway.
 NAMES = r"""
 agpl-3.0 | affero | (gnu )?affero general public licen[sc]e,?( (version|v\.?) ?3(\.0)?)?
@@ -136,8 +136,8 @@ mulan-psl-2.0 | mulan | mulan (psl|permissive software licen[sc]e)(,? (version|v
 odbl-1.0 | open database licen | open (data commons )?database licen[sc]e(,? (version|v)?\.? ?1\.0)?
 odc-by-1.0 | open data commons attribution | open data commons attribution licen[sc]e(,? (version|v)?\.? ?1\.0)?
 pddl-1.0 | public domain dedication | open data commons public domain dedication (and|&) licen[sc]e
-cdla-permissive | community data licen | community data licen[sc]e agreement ?[-–]? ?permissive
-cdla-sharing | community data licen | community data licen[sc]e agreement ?[-–]? ?sharing
+cdla-permissive | community data licen | community data licen[sc]e agreement ?(-|–)? ?permissive
+cdla-sharing | community data licen | community data licen[sc]e agreement ?(-|–)? ?sharing
 ogl-uk-3.0 | open government licen | open government licen[sc]e(,? (version|v)?\.? ?3\.0)?
 openrail | openrail | (creativeml |bigscience )?open ?rail(\+\+)?(-m)?( licen[sc]e)?
 llama | llama | llama [0-9.]+ community licen[sc]e( agreement)?
@@ -191,9 +191,9 @@ def _compiled() -> list[tuple[int, str, bytes, re.Pattern]]:
     for line in NAMES.split("\n"):
         label, keyword, pattern = (x.strip() for x in line.split(" | ", 2))
         rank = 1 if label in ("proprietary", "public-domain", "cc") else 2
-        rules.append((rank, label, keyword.encode(),
-                      re.compile(rb"(?<![a-z0-9])(?:" + pattern.replace(" ", r"\s+").encode()
-                                 + rb")(?![a-z0-9])")))
+        pattern = re.sub(r"\[(- | -)\]", r"[-\\s]", pattern).replace(" ?", r"\s*").replace(" ", r"\s+")
+        rules.append((rank, label, keyword.encode(), re.compile(
+            rb"(?<![a-z0-9])(?:" + pattern.encode() + rb")(?![a-z0-9])")))
     for name in IDENTIFIERS:
         low = name.lower()
         rules.append((3, low, low.encode(), re.compile(
