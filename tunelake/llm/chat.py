@@ -77,23 +77,29 @@ class Model:
         return sum(self.shows[f][:, features[:, f]].T for f in range(len(KINDS)))
 
 
-def _logs(counts: np.ndarray) -> np.ndarray:
-    counts = counts + 0.5
+def _logs(counts: np.ndarray, prior: np.ndarray | float = 0.5) -> np.ndarray:
+    counts = counts + prior
     return np.rint(np.log(counts / counts.sum(-1, keepdims=True)) * 65536).astype(np.int64)
 
 
 def model_of(counts: dict[tuple[str, int, int], int]) -> Model:
-    """``counts``: ("first", 0, state), ("step", from, to) and ("show<f>", state, kind). Without any
-    counts all are equally likely."""
-    def table(name: str, rows: int, columns: int) -> np.ndarray:
+    """``counts``: ("first", 0, state), ("step", from, to) and ("show<f>", state, kind). What is known
+    beforehand is only that a marker begins a turn of its own role; without any counts, all else
+    is equally likely."""
+    def table(name: str, rows: int, columns: int, prior: np.ndarray | float = 0.5) -> np.ndarray:
         out = np.zeros((rows, columns))
         for (what, a, b), n in counts.items():
             if what == name:
                 out[a, b] += n
-        return _logs(out)
-
-    return Model(table("first", 1, STATES)[0], table("step", STATES, STATES),
-                 [table(f"show{f}", STATES, kinds) for f, kinds in enumerate(KINDS)])
+        return _logs(out, prior)
+
+    markers = np.full((STATES, KINDS[0]), 1e-4)
+    markers[:, 0] = 0.5
+    for role in range(len(ROLES)):
+        markers[2 * role, 1 + role] = 0.5
+    return Model(table("first", 1, STATES)[0], table("step", STATES, STATES), [
+        table(f"show{f}", STATES, kinds, 0.5 if f else markers)
+        for f, kinds in enumerate(KINDS)])
 
 
 def best_path(model: Model, emissions: np.ndarray, enter: int | None, leave: int | None
