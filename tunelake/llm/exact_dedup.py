@@ -74,8 +74,10 @@ def duplicate_groups(
                  F.col("__row").alias("row")).alias("__best"),
         F.lit(1).cast("bigint").alias("__n"),
     )
+    # Each partition's own run first: copies in it are one row before anything is exchanged.
+    runs = runs.groupBy("__shard", "__run", *DIGEST).agg(
+        (F.max if largest else F.min)("__best").alias("__best"), F.sum("__n").alias("__n"))
     while True:
-        # The first round also sorts and reduces each partition's own run, before the exchange.
         runs = _merge(runs.withColumn("__run", F.floor(F.col("__run") / fan_in).cast("int")),
                       largest)
         n_runs = -(-n_runs // fan_in)
