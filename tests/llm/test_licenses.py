@@ -80,3 +80,40 @@ def test_table(docs, listed):
     assert sorted(r.n_words for r in found) == sorted(plain(r.text or "")[0] for r in listed)
     assert all(0 <= r.score <= 1 and (r.score > 0) == (r.labels != "") for r in found)
     assert licenses.scanned(edge_data.empty(docs)).count() == 0
+
+
+def ungated(text):
+    low = text.encode().lower()
+    found = [(*licenses._place(rank, m), rank, label) for rank, label, _, pattern in RULES
+             for m in pattern.finditer(low)]
+    return [(a, b, label) for a, b, _, label in sorted(licenses.resolved(found))]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.data())
+def test_the_gate_lets_every_rule_through(data):
+    rule = data.draw(st.sampled_from(RULES))
+    text = data.draw(st.from_regex(rule[3], fullmatch=True)).decode(errors="replace")
+    assert licenses.detected(text, RULES)["spans"] == ungated(text)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("GNU General\nPublic License version 3", "gpl-3.0"),
+    ("Mozilla\nPublic License, v. 2.0", "mpl-2.0"),
+    ("All  rights\n\treserved", "proprietary"),
+    ("do\twhat the fuck you want to public license", "wtfpl"),
+    ("GNU Library General Public License, version 2.1", "lgpl-2.1"),
+    ("beerware license", "beerware"),
+    ("BigScience Open\nRAIL-M", "openrail"),
+    ("Commons\nClause", "commons-clause"),
+    ("https://www.mozilla.org/MPL/2.0/", "mpl-2.0"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\n",
+     "apache-2.0,bsd-3-clause,mit"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR\n MIT",
+     "gpl-2.0-only,mit"),
+    ("SPDX-License-Identifier: MIT\nor ISC", "mit"),
+])
+def test_wrapped_names_and_whole_expressions(text, labels):
+    r = licenses.detected(text, RULES)
+    assert set(labels.split(",")) <= set(r["labels"].split(","))
+    assert r["spans"] == ungated(text)

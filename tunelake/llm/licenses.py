@@ -2,7 +2,8 @@
 
 A rule is a label, a priority, a keyword and a regular expression. A text is first searched for a
 few roots; only if one is there, for the rules' keywords; and only rules whose keyword is there run
-their expression. Detections may overlap ("GNU Lesser General Public License" holds "General Public
+their expression. Roots and keywords are searched in a copy whose runs of white space are one blank,
+so that a name broken by a line end is found too. Detections may overlap ("GNU Lesser General Public License" holds "General Public
 License"). They are taken by descending priority, then length; one that lies within the interval of
 a detection already taken is suppressed.
 
@@ -38,7 +39,7 @@ GAP = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # wins anyway.
 NAMES = r"""
 agpl-3.0 | affero | (gnu )?affero general public licen[sc]e,?( (version|v\.?) ?3(\.0)?)?
-lgpl-2.1 | lesser | (gnu )?(library|lesser) general public licen[sc]e,? (version|v\.?) ?2(\.1)?
+lgpl-2.1 | general public | (gnu )?(library|lesser) general public licen[sc]e,? (version|v\.?) ?2(\.1)?
 lgpl-3.0 | lesser | (gnu )?lesser general public licen[sc]e,? (version|v\.?) ?3(\.0)?
 lgpl | lesser | (gnu )?lesser general public licen[sc]e
 lgpl-2.0 | library general | (gnu )?library general public licen[sc]e
@@ -128,18 +129,18 @@ bsl-upl | universal permissive | universal permissive licen[sc]e(,? (version|v)?
 blueoak-1.0.0 | blue oak | blue oak model licen[sc]e(,? (version|v)?\.? ?1\.0\.0)?
 ofl-1.1 | open font | (sil )?open font licen[sc]e(,? (version|v)?\.? ?1\.1)?
 lppl-1.3c | latex project public | latex project public licen[sc]e(,? (version|v)?\.? ?1\.3c?)?
-beerware | beer-ware | beer-?ware licen[sc]e
+beerware | ware licen | beer-?ware licen[sc]e
 json | json licen | json licen[sc]e
 json | good, not evil | shall be used for good, not evil
 cecill | cecill | cecill(-[bc])?( (free software )?licen[sc]e)?
 mulan-psl-2.0 | mulan | mulan (psl|permissive software licen[sc]e)(,? (version|v)?\.? ?2)?
-odbl-1.0 | open database licen | open (data commons )?database licen[sc]e(,? (version|v)?\.? ?1\.0)?
+odbl-1.0 | database licen | open (data commons )?database licen[sc]e(,? (version|v)?\.? ?1\.0)?
 odc-by-1.0 | open data commons attribution | open data commons attribution licen[sc]e(,? (version|v)?\.? ?1\.0)?
 pddl-1.0 | public domain dedication | open data commons public domain dedication (and|&) licen[sc]e
 cdla-permissive | community data licen | community data licen[sc]e agreement ?(-|–)? ?permissive
 cdla-sharing | community data licen | community data licen[sc]e agreement ?(-|–)? ?sharing
 ogl-uk-3.0 | open government licen | open government licen[sc]e(,? (version|v)?\.? ?3\.0)?
-openrail | openrail | (creativeml |bigscience )?open ?rail(\+\+)?(-m)?( licen[sc]e)?
+openrail | rail | (creativeml |bigscience )?open ?rail(\+\+)?(-m)?( licen[sc]e)?
 llama | llama | llama [0-9.]+ community licen[sc]e( agreement)?
 cc0-1.0 | cc0 | cc0( 1\.0)?( universal)?
 cc0-1.0 | creative commons zero | creative commons zero(,? (version|v)?\.? ?1\.0)?( universal)?
@@ -182,7 +183,11 @@ X11 Zlib ZPL-2.1
 ROOTS = (b"licen", b"copyright", b"spdx", b"gpl", b"cc0", b"cc by", b"cc-by", b"creative", b"domain",
          b"rights reserved", b"bsd", b"permission", b"redistribution", b"wtfpl", b"cecill",
          b"openrail", b"open rail", b"proprietary", b"same terms", b"evil", b"classpath", b"mulan",
-         b"do what the", b"exception", b"any later", b"mit no")
+         b"do what the", b"exception", b"any later", b"mit no", b"mozilla.org", b"commons clause")
+
+
+#: What may stand before an identifier in the expression of a tag; a line may end after an operator.
+OPERANDS = rb"((?:[a-z0-9.:+-]+[ \t)]+(?:and|or|with)[\s(]+)+)?"
 
 
 def _compiled() -> list[tuple[int, str, bytes, re.Pattern]]:
@@ -197,11 +202,17 @@ def _compiled() -> list[tuple[int, str, bytes, re.Pattern]]:
     for name in IDENTIFIERS:
         low = name.lower()
         rules.append((3, low, low.encode(), re.compile(
-            rb"spdx-license-identifier:[ \t]*\(?" + re.escape(low.encode())
-            + rb"(?![a-z0-9.+-])")))
+            rb"spdx-license-identifier:[ \t(]*" + OPERANDS + rb"(" + re.escape(low.encode())
+            + rb")(?!\+?[a-z0-9+-]|\.[a-z0-9])")))
     return rules
 
 
+def _place(rank: int, m: re.Match) -> tuple[int, int]:
+    """Of a detection. A tag's first identifier goes with the tag, further ones stand alone, so that
+    none lies within another."""
+    return m.span(2) if rank == 3 and m.group(1) else m.span()
+
+
 #: What a surviving detection of a priority says about its text being under a licence.
 CONFIDENCE = {1: 0.4, 2: 0.8, 3: 1.0}
 BASE_CONFIDENCE = 0.7
@@ -254,12 +265,13 @@ def detected(text: str, rules: list) -> dict:
         out |= {"n_base": len(places), "first_word": int(number[min(places)]),
                 "last_word": int(number[max(places)])}
     found, there = [], {}
-    if any(root in low for root in ROOTS):
+    flat = b" ".join(low.split())  # keywords have a blank where expressions have any white space
+    if any(root in flat for root in ROOTS):
         for rank, label, keyword, pattern in rules:
             if keyword not in there:
-                there[keyword] = keyword in low
+                there[keyword] = keyword in flat
             if there[keyword]:
-                found += [(m.start(), m.end(), rank, label) for m in pattern.finditer(low)]
+                found += [(*_place(rank, m), rank, label) for m in pattern.finditer(low)]
     kept = resolved(found)
     score = max([*(CONFIDENCE[d[2]] for d in kept), BASE_CONFIDENCE if base else 0.0], default=0.0)
     labels = base | {d[3] for d in kept}
