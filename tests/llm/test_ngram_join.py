@@ -72,6 +72,20 @@ def test_one_of_each_group_stays(docs, listed):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in left.collect()) == sorted(stay)
 
 
+def test_sets_without_an_id_of_their_own(spark, tmp_path):
+    """Two copy groups whose ids are all null, two with the same id: one row of each stays."""
+    rows = [(i, edge_data.prose(60, seed)) for i, seed in
+            ((None, 900), (None, 901), (7, 902), (7, 903)) for _ in range(3)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    table = spark.read.parquet(path)
+    left = ngram_join.without_near_duplicates(table).collect()
+    assert sorted(r.text for r in left) == sorted({t for _, t in rows})
+    found = ngram_join.near_duplicates(table).collect()
+    assert {r.class_id for r in found} == {None, 7} and all(r.class_size == 3 for r in found)
+    assert len({r.root for r in found}) == 4
+
+
 def test_empty(docs):
     assert ngram_join.near_duplicates(edge_data.empty(docs)).count() == 0
 

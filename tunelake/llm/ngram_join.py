@@ -355,8 +355,8 @@ def near_duplicates(
     seed: int = 3,
 ) -> DataFrame:
     """One row per row of ``docs``: ``__id``, ``__row`` (its place in the scan), ``class_id`` (the
-    smallest id of the rows it is connected with, by links or as copies), ``class_size``,
-    ``text_class`` (the smallest id of the rows with the same n-grams) and ``n_links`` (other rows
+    smallest id of the rows it is connected with, by links or as copies), ``root`` (the place of the
+    first of those rows: unlike ``class_id``, no two sets share it), ``class_size``, ``text_class`` (the smallest id of the rows with the same n-grams) and ``n_links`` (other rows
     at a similarity of the threshold or more, copies included).
 
     Null and empty texts have the empty n-gram set and are copies of each other. Texts shorter than
@@ -405,7 +405,7 @@ def near_duplicates(
         F.min("text_class").alias("class_id"), F.sum("copies").alias("class_size"))
     of_text = merged.join(whole, "root")
     return places.join(of_text, "same").select(
-        "__id", "__row", "class_id", "class_size", "text_class",
+        "__id", "__row", "class_id", "root", "class_size", "text_class",
         (F.col("n") + F.col("copies") - 1).alias("n_links"))
 
 
@@ -415,8 +415,6 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "
     found = near_duplicates(docs, text, row_id, **options)
     # Only sets of more than one row can lose any.
     several = found.where("class_size > 1")
-    first = several.where("__id <=> class_id").groupBy("class_id").agg(F.min("__row").alias("stays"))
-    dropped = several.alias("d").join(
-        first.alias("f"), F.expr("d.class_id <=> f.class_id")
-    ).where("__row <> stays")
+    first = several.where("__id <=> class_id").groupBy("root").agg(F.min("__row").alias("stays"))
+    dropped = several.join(first, "root").where("__row <> stays")
     return without_rows(docs, dropped)

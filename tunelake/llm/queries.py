@@ -18,9 +18,10 @@ from tunelake.session import scratch_path
 
 
 def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per document: its class of connected documents and its number of links."""
+    """One row per document: its class of connected documents and its number of links. Classes
+    may share an id, as ids may be null or repeated; ``root`` tells them apart."""
     return ngram_join.near_duplicates(read(spark, sf, "documents")).select(
-        F.col("__id").alias("doc_id"), "class_id", "class_size", "text_class", "n_links")
+        F.col("__id").alias("doc_id"), "class_id", "class_size", "text_class", "n_links", "root")
 
 
 def op2_top_k(spark: SparkSession, sf: str) -> DataFrame:
