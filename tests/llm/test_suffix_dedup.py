@@ -65,6 +65,32 @@ def test_against_brute_force(docs, listed, monkeypatch, length, window, many):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_a_line_in_very_many_texts_is_split(spark, tmp_path, monkeypatch):
+    """A 150-byte line holds both anchors of thousands of different contexts; a longer passage
+    repeats as well, and a run of one letter within itself."""
+    line, passage = edge_data.prose(60, 50)[:150], edge_data.prose(90, 51)[:260]
+    rows = []
+    for i in range(2400):
+        here = passage if i % 6 == 0 else "z" * (210 + i % 5) if i % 100 == 1 else line
+        rows.append((i, f"{edge_data.prose(45, 2 * i + 7000)} {here} "
+                        f"{edge_data.prose(45, 2 * i + 7001)}"))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    bound, search = 1 << 15, suffix_dedup.repeated_starts
+
+    def bounded(pieces, length):
+        # A shard is parted once it has twice the bound; a key adds the bound at most.
+        assert sum(map(len, pieces)) < 4 * bound
+        return search(pieces, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", bound)
+    monkeypatch.setattr(suffix_dedup, "MANY", 100)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", bounded)
+    found = suffix_dedup.without_repeats(spark.read.parquet(path), with_text=False).collect()
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found)
+    assert got == sorted(brute([t for _, t in rows], 200))
+
+
 def test_empty(docs):
     assert suffix_dedup.without_repeats(edge_data.empty(docs)).count() == 0
 

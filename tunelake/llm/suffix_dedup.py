@@ -16,7 +16,9 @@ share an anchor are contiguous; with the bytes they need they form a context. So
 4. the starts go back to their texts as ranges, and each text is cut once.
 
 Anchors with very many different contexts are split by a second anchor, so that no shard gets them
-all. Only texts with a repeated anchor travel: a bitmap of fixed size keeps back most others.
+all. A line that many texts share, shorter than ``length``, can hold both anchors; contexts that are
+too many even so are not searched, but their starts counted by the digest of their ``length`` bytes.
+Only texts with a repeated anchor travel: a bitmap of fixed size keeps back most others.
 """
 
 from __future__ import annotations
@@ -199,7 +201,7 @@ def _searched(pieces: DataFrame, shards: int, length: int) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in
                        ("shard", "key", "anchor", "context", "copies", "at", "data"))
             for shard, key, *rest in zip(*columns):
-                # A shard may be larger than meant: it is parted between keys.
+                # A shard may be larger than meant: it is parted between keys (see ``_parted``).
                 if held and (shard != current[0]
                              or key != current[1] and size > 2 * SHARD_BYTES):
                     yield done()
@@ -216,6 +218,50 @@ def _searched(pieces: DataFrame, shards: int, length: int) -> DataFrame:
         search, "anchor long, context long, a long, b long")
 
 
+def _parted(pieces: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pieces whose key fits a shard, and those of keys that don't (None if there are none). One
+    piece alone stays: it is no longer than its text."""
+    sizes = pieces.groupBy("key").agg(
+        F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("n"))
+    # Stored, so that the joins below can split a large key.
+    hot = stored(sizes.where((F.col("bytes") > SHARD_BYTES) & (F.col("n") > 1)).select("key"),
+                 "hot-keys")
+    if hot.isEmpty():
+        return pieces, None
+    return pieces.join(hot, "key", "left_anti"), pieces.join(hot, "key")
+
+
+def _counted(pieces: DataFrame, length: int) -> DataFrame:
+    """What ``_searched`` gives, for pieces of any number: a row for each start (one for a run of
+    equal ones), and starts of equal digests are counted. Equal strings have equal anchors, so all
+    of them are here."""
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "context", "copies", "a", "b", "digest"]
+        for batch in batches_of(batches, 100):
+            out: list[list] = [[], [], [], [], [], []]
+            columns = (batch.column(c).to_pylist() for c in names[:3] + ["at", "data"])
+            for anchor, context, copies, at, data in zip(*columns):
+                last = None
+                for i in range(len(data) - length + 1):
+                    one = xxhash.xxh3_128_digest(data[i:i + length])
+                    if one == last:
+                        out[4][-1] = at + i
+                        continue
+                    last = one
+                    for column, x in zip(out, (anchor, context, copies, at + i, at + i, one)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())],
+                names)
+
+    starts = stored(pieces.select("anchor", "context", "copies", "at", "data").mapInArrow(
+        digest, "anchor long, context long, copies long, a long, b long, digest binary"), "starts")
+    # Summed within each task first, and stored, so that the join can split a common string.
+    twice = stored(starts.groupBy("digest").agg(F.sum(F.expr("b - a + 1")).alias("n")).where(
+        "n > 1").select("digest"), "repeated-starts")
+    return starts.where("copies = 1").join(twice, "digest").select("anchor", "context", "a", "b")
+
+
 REMOVED = ("__row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
            "spans array<struct<start:long,end:long>>, kept binary")
 
@@ -291,7 +337,10 @@ def without_repeats(
     pieces = stored(_pieces(wanted, maybe.where("__maybe").select("__row", "__text"), length,
                             window), "pieces")
     total = pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    found = _searched(pieces, max(64, -(-total // SHARD_BYTES)), length)
+    few, hot = _parted(pieces)
+    found = _searched(few, max(64, -(-total // SHARD_BYTES)), length)
+    if hot is not None:
+        found = found.unionByName(_counted(hot, length))
 
     # Ranges of repeated starts, in the texts.
     whole = repeated.join(distinct.where("copies > 1").select("anchor", "context"),
