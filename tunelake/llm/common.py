@@ -38,12 +38,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose place in the scan is in ``dropped`` (column ``__row``).
-    ``docs`` has to give the same rows in the same order each time it is read, as tables do."""
-    row = fresh(docs, "__row")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(
-        dropped.select(F.col("__row").alias(row)), row, "left_anti").drop(row)
+def numbered(docs: DataFrame, row: str = "__row") -> DataFrame:
+    """``docs`` with a number of each row, stored with it: a second scan of a table may be split
+    otherwise (executors come and go) and would be numbered otherwise."""
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """``docs``, which ``numbered`` gave, without the rows whose number is in ``dropped`` (column
+    ``__row``) and without its column ``row``."""
+    return docs.join(dropped.select(F.col("__row").alias(row)), row, "left_anti").drop(row)
 
 
 def _bit(name: str) -> Column:

@@ -16,15 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import filled, stored, without_rows
+from tunelake.llm.common import filled, fresh, numbered, stored, without_rows
 
 DIGEST = ("__sha", "__bytes", "__check")
 
 
-def _digested(docs: DataFrame, text: str, row_id: str) -> DataFrame:
+def _digested(docs: DataFrame, text: str, row_id: str, place: str | None) -> DataFrame:
     return docs.select(
         F.col(row_id).alias("__id"),
-        F.monotonically_increasing_id().alias("__row"),
+        (F.col(place) if place else F.monotonically_increasing_id()).alias("__row"),
         F.spark_partition_id().alias("__run"),
         F.unhex(F.sha2(filled(text), 256)).alias("__sha"),
         F.octet_length(filled(text)).alias("__bytes"),
@@ -50,9 +50,10 @@ def duplicate_groups(
     keep: str = "smallest",
     fan_in: int = 8,
     shards: int = 1024,
+    place: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``__id``, ``__row`` (its place in the scan), ``keep_id``,
-    ``group_size``, ``kept`` and ``text_sha256``.
+    """One row per row of ``docs``: ``__id``, ``__row`` (its place in the scan, or column ``place``),
+    ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     ``keep`` is "smallest" or "largest" ``row_id``. Null text counts as empty, and empty texts are
     a group like any other. A null id is never preferred to another id. Rows that agree in text and
@@ -63,7 +64,7 @@ def duplicate_groups(
         raise ValueError(f"keep is 'smallest' or 'largest', not {keep!r}")
     largest = keep == "largest"
     # The digests are read three times (rounds, rows) and cost a pass over all text: store them.
-    rows = stored(_digested(docs, text, row_id), "digests")
+    rows = stored(_digested(docs, text, row_id, place), "digests")
     n_runs = (rows.agg(F.max("__run")).first()[0] or 0) + 1
     null_last = F.col("__id").isNotNull() if largest else F.col("__id").isNull()
     runs = rows.select(
@@ -96,7 +97,8 @@ def duplicate_groups(
 def without_duplicates(
     docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep: str = "smallest"
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns. ``docs`` has to give the same rows in
-    the same order each time it is read, as a table on disk does."""
-    dropped = duplicate_groups(docs, text, row_id, keep).where("not kept")
-    return without_rows(docs, dropped)
+    """The rows of ``docs`` that stay, with their own columns."""
+    row = fresh(docs, "__row")
+    docs = numbered(docs, row)
+    dropped = duplicate_groups(docs, text, row_id, keep, place=row).where("not kept")
+    return without_rows(docs, dropped, row)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import SIZE_WORD, fresh, small_batches, stored, word_count
+from tunelake.llm.common import SIZE_WORD, fresh, numbered, small_batches, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: numpy draws a split exactly up to this many slots; above, the split is in proportion (the draw
@@ -239,6 +239,7 @@ def mixed(
     per_shard: int = 512,
     chunk_rows: int = 10_000,
     seed: int = 7,
+    place: str | None = None,
 ) -> Mix:
     """The mix of all ``docs``. Sources go by code point, null last (null is a source of its own),
     and weigh ``weights``, repeating.
@@ -249,7 +250,8 @@ def mixed(
     """
     spark = docs.sparkSession
     sized = stored(docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.col(row_id).alias("__id"),
+        (F.col(place) if place else F.monotonically_increasing_id()).alias("__row"),
+        F.col(row_id).alias("__id"),
         F.col(source).cast("string").alias("__source"), word_count(text).alias("__size"),
     ), "sizes")
     found = sized.groupBy("__source").agg(F.sum("__size").alias("words")).collect()
@@ -288,8 +290,10 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     row whose text is what that pass takes of it (whole documents as they are, parts as runs of
     their words; ``n_chars``, if there, is counted anew)."""
     small_batches(docs.sparkSession)
-    mix = mixed(docs, text, **options)
+    columns = docs.columns
     row, got = fresh(docs, "__row"), fresh(docs, "__mix")
+    docs = numbered(docs, row)
+    mix = mixed(docs, text, place=row, **options)
     parts = mix.spans.groupBy("__row", "epoch").agg(
         F.sum("n_words").alias("words"),
         F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("parts"),
@@ -316,7 +320,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
         return pd.Series(out)
 
     assert SIZE_WORD == r"[^\x20\x09-\x0D]+"  # the pattern above, as Python writes it
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(parts, row)
+    rows = docs.join(parts, row)
     # Two branches, so that whole texts don't pass through Python.
     kept = rows.where(F.col(got)["whole"])
     partial = rows.where(~F.col(got)["whole"]).withColumn(
@@ -324,4 +328,4 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     out = kept.unionByName(partial)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns)

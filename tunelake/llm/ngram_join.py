@@ -29,7 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import among, batches_of, filled, small_batches, stored, without_rows
+from tunelake.llm.common import (
+    among, batches_of, filled, fresh, numbered, small_batches, stored, without_rows,
+)
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 16, 6
@@ -353,8 +355,9 @@ def near_duplicates(
     depth: int = DEPTH,
     block: int = 256,
     seed: int = 3,
+    place: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``__id``, ``__row`` (its place in the scan), ``class_id`` (the
+    """One row per row of ``docs``: ``__id``, ``__row`` (its place in the scan, or column ``place`` of a stored table), ``class_id`` (the
     smallest id of the rows it is connected with, by links or as copies), ``root`` (the place of the
     first of those rows: unlike ``class_id``, no two sets share it), ``class_size``, ``text_class`` (the smallest id of the rows with the same n-grams) and ``n_links`` (other rows
     at a similarity of the threshold or more, copies included).
@@ -362,13 +365,13 @@ def near_duplicates(
     Null and empty texts have the empty n-gram set and are copies of each other. Texts shorter than
     ``n`` words are one n-gram. Repeated rows are copies. Null ids are never the smallest unless
     there is no other. An empty table gives an empty result; other columns are not looked at.
-    ``docs`` has to give the same rows in the same order each time it is read.
     """
     small_batches(docs.sparkSession)
     steps = depth
     seeds = np.random.default_rng(seed).integers(0, 2**63, trees * steps, dtype=np.uint64)
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"),
-                       F.col(row_id).alias("__id"), filled(text).alias("__text"))
+    columns = F.col(row_id).alias("__id"), filled(text).alias("__text")
+    rows = docs.select(F.col(place).alias("__row"), *columns) if place else numbered(
+        docs.select(*columns))
     signed = stored(_signed(rows.select("__row", "__text"), n, seeds), "signatures")
     ids = rows.select("__row", "__id")
     # Equal sets are one text from here on; the place of the first row is its number.
@@ -412,9 +415,11 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options
                             ) -> DataFrame:
     """One row of each connected set stays: the smallest id's, of repeated rows the first."""
-    found = near_duplicates(docs, text, row_id, **options)
+    row = fresh(docs, "__row")
+    docs = numbered(docs, row)
+    found = near_duplicates(docs, text, row_id, place=row, **options)
     # Only sets of more than one row can lose any.
     several = found.where("class_size > 1")
     first = several.where("__id <=> class_id").groupBy("root").agg(F.min("__row").alias("stays"))
     dropped = several.join(first, "root").where("__row <> stays")
-    return without_rows(docs, dropped)
+    return without_rows(docs, dropped, row)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import among, batches_of, filled, small_batches, stored
+from tunelake.llm.common import among, batches_of, filled, numbered, small_batches, stored
 from tunelake.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, WINDOW = 200, 72
@@ -312,12 +312,10 @@ def without_repeats(
 
     Null counts as empty. Texts shorter than ``length`` bytes lose nothing. Repeated rows are texts
     like others, so long ones go as a whole, each. An empty table gives an empty result; other
-    columns are not looked at. ``docs`` has to give the same rows in the same order each time it is
-    read. Strings are judged on the input, not on what is left, and never cross texts.
+    columns are not looked at. Strings are judged on the input, not on what is left, and never cross texts.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("__row"),
-                        F.col(row_id).alias("__id"), filled(text).alias("__text"))
+    texts = numbered(docs.select(F.col(row_id).alias("__id"), filled(text).alias("__text")))
     anchored = stored(_anchored(texts.select("__row", "__text"), length, window), "anchors")
     twice = anchored.groupBy("anchor").agg(
         F.count("*").alias("times"), F.bool_or("loops").alias("loops")).where("times > 1 or loops")

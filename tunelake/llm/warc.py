@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import batches_of, filled, small_batches, stored
+from tunelake.llm.common import batches_of, filled, numbered, small_batches, stored
 
 INDEX = ("page_id long, url string, path string, offset long, length long, payload_bytes long, "
          "payload_digest string, record_type string, refers_to long")
@@ -41,10 +41,10 @@ def base32_sha1(name: str) -> Column:
 
 def with_revisits(pages: DataFrame, html: str, page_id: str, url: str, min_bytes: int
                   ) -> tuple[DataFrame, DataFrame]:
-    """The pages' digests, and the first of each group of equals. Only digests are grouped; equal
+    """The digests of pages with a number ``__row``, and the first of each group of equals. Only digests are grouped; equal
     SHA-1 counts as equal only with equal SHA-256 and size."""
     rows = pages.select(
-        F.monotonically_increasing_id().alias("__row"),
+        "__row",
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         base32_sha1(html).alias("payload_digest"),
         F.octet_length(filled(html)).cast("long").alias("payload_bytes"),
@@ -122,6 +122,7 @@ def write_archives(
     are revisits. An empty table gives an empty index; other columns are not looked at.
     """
     small_batches(pages.sparkSession)
+    pages = numbered(pages.select(*dict.fromkeys([html, page_id, url])))
     rows, groups = with_revisits(pages, html, page_id, url, min_bytes)
     groups = stored(groups, "equal-pages")  # the join with it can then split a large group
     # Only pages that refer to another one pass a join; it is on digests, not on texts.
@@ -129,7 +130,7 @@ def write_archives(
         "__row <> __first.__row"
     ).select("__row", F.col("__first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
     full = pages.select(
-        F.monotonically_increasing_id().alias("__row"),
+        "__row",
         F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
         filled(html).alias("html"), base32_sha1(html).alias("payload_digest"),
         F.octet_length(filled(html)).cast("long").alias("payload_bytes"),
