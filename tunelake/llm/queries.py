@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import (
-    chat, exact_dedup, licenses, mixing, ngram_join, packing, quality, suffix_dedup, topk,
+    chat, exact_dedup, infill, licenses, mixing, ngram_join, packing, quality, suffix_dedup, topk,
     warc,
 )
 from tunelake.llm.common import read
@@ -80,6 +80,15 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document cut and reordered, with digests of the output and of the text restored."""
+    cut = infill.transformed(read(spark, sf, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_top_k": op2_top_k,
@@ -91,6 +100,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: Twenty bits of the digest at a time, as four base32 digits.
@@ -127,4 +137,30 @@ ORACLE_SQL = {
         SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to FROM q""",
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+            FROM documents),
+        k AS (
+            SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a,
+                   ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+                             OR contains(t, '<M>')
+                             OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm'
+                        ELSE 'psm' END AS form FROM d),
+        p AS (
+            SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix,
+                   array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+                   array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM k)
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t
+                   WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END)
+                   AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
