@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     # Unlike the default codec, zstd leaves no buffers outside the heap behind, file by file.
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that is made of them is written itself, and let
+    Spark find out that nothing refers to the shuffles of the jobs before: their files go too."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

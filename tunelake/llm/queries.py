@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import (
-    chat, exact_dedup, infill, licenses, mixing, ngram_join, packing, quality, suffix_dedup, topk,
-    warc,
+    chat, exact_dedup, infill, licenses, mixing, ngram_join, packing, prefix_trie, quality,
+    suffix_dedup, topk, warc,
 )
 from tunelake.llm.common import read
 from tunelake.session import scratch_path
@@ -80,6 +80,11 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_nodes(read(spark, sf, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     """Every document cut and reordered, with digests of the output and of the text restored."""
     cut = infill.transformed(read(spark, sf, "documents"))
@@ -100,6 +105,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -137,6 +143,47 @@ ORACLE_SQL = {
         SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to FROM q""",
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id AS c, length(coalesce(role, '')) || ':' || coalesce(role, '')
+                   || coalesce(text, '') AS said,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(length(coalesce(role, '')) || ':' || coalesce(role, '')
+                              || coalesce(text, ''))) AS n
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT *, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+                list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)),
+                    lambda a, i: xor(a >> 1, (a & 1) * 3988292384)))) % 4 AS h
+            FROM (SELECT DISTINCT c FROM t)),
+        r AS (
+            SELECT c.c, t.n, 0 AS own, said, words FROM c JOIN t ON t.c = c.c - c.c % 20 AND t.n <= h
+            UNION ALL
+            SELECT c.c, t.n, 1, said, words FROM c JOIN t ON t.c = c.c AND t.n > h),
+        p AS (
+            SELECT c, row_number() OVER w AS depth, words, count(*) OVER (PARTITION BY c) AS size,
+                   list(said) OVER (w ROWS UNBOUNDED PRECEDING) AS path
+            FROM r WINDOW w AS (PARTITION BY c ORDER BY own, n)
+            UNION ALL
+            SELECT c.c, 0, 0, (SELECT count(*) FROM r WHERE r.c = c.c), [] FROM c),
+        v AS (
+            SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c)
+                          FILTER (size = depth), '')) AS ends_sha256
+            FROM p GROUP BY path, depth),
+        k AS (
+            SELECT v.*, u.conv_id AS parent_conv_id,
+                   (SELECT count(*) FROM v w WHERE w.depth = v.depth + 1
+                    AND w.path[1:v.depth] = v.path) AS n_children
+            FROM v LEFT JOIN v u ON u.depth = v.depth - 1 AND u.path = v.path[1:v.depth - 1])
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children,
+               (SELECT count(*) FROM k w WHERE w.n_children = 0
+                AND w.path[1:k.depth] = k.path)::BIGINT AS n_leaves,
+               (SELECT sum((w.n_convs - 1) * w.words) FROM k w
+                WHERE w.path[1:k.depth] = k.path)::BIGINT AS saved_tokens, ends_sha256
+        FROM k""",
     "op13_fill_in_middle": """
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t,
