@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake.llm import (
-    chat, exact_dedup, infill, licenses, mixing, ngram_join, packing, prefix_trie, quality,
-    suffix_dedup, topk, warc,
+    chat, exact_dedup, infill, licenses, mixing, neighbours, ngram_join, packing, prefix_trie,
+    quality, suffix_dedup, topk, warc,
 )
 from tunelake.llm.common import read
 from tunelake.session import scratch_path
@@ -80,6 +80,11 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("__id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.nearest(read(spark, sf, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     """The nodes of the trie of all rebuilt conversations."""
     return prefix_trie.prefix_nodes(read(spark, sf, "conversations"))
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_neighbours": op11_neighbours,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
