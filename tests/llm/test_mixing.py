@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -111,3 +112,44 @@ def test_empty(docs):
     assert mixing.mixed_documents(edge_data.empty(docs)).count() == 0
     blank = docs.where("text is null")
     assert {(r.taken, r.target) for r in mixing.taken(mixing.mixed(blank)).collect()} == {(0, 0.0)}
+
+
+def test_reruns_agree_however_the_table_is_split(spark, docs, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    more = docs.select("doc_id", "text", "source").union(spark.createDataFrame(
+        [(None, "the same words again", "a")] * 700, "doc_id long, text string, source string"))
+    more.repartition(1).write.parquet(path)
+
+    def found(df):
+        return sorted(((r["__id"], r.size, r.target, r.taken) for r in mixing.taken(
+            mixing.mixed(df, block=8, per_shard=16, chunk_rows=50)).collect()), key=str)
+
+    one = found(spark.read.parquet(path))
+    other = found(spark.read.parquet(path).repartition(7, "text").sortWithinPartitions("source"))
+    assert one == other
+    assert len(one) == more.count()
+
+
+def test_draws_of_any_size():
+    """Against the probabilities, and of totals beyond what numpy draws."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((7, 9, 5), (3, 40, 11), (30, 4, 31), (1, 1, 1), (200, 300, 250)):
+        found = np.bincount([mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000)],
+                            minlength=good + 1)
+        ways = np.array([math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
+                         if 0 <= n - k <= bad else 0 for k in range(good + 1)])
+        assert not found[:good + 1][ways == 0].any()
+        error = np.sqrt(20_000 * ways * (1 - ways)) + 1
+        assert (np.abs(found[:good + 1] - 20_000 * ways) < 5 * error).all()
+    big = [mixing.hypergeometric(rng, 10**13, 3 * 10**13, 2 * 10**13) for _ in range(2000)]
+    deviation = math.sqrt(2e13 * 0.25 * 0.75 * 0.5)
+    assert abs(np.mean(big) - 5e12) < 5 * deviation / math.sqrt(2000)
+    assert 0.9 < np.std(big) / deviation < 1.1
+
+
+def test_shards_add_up_when_no_split_is_numpys():
+    slots = np.array([500, 0, 37, 1463 + 48], np.int64)
+    parts = [mixing.shard_counts(i, 4, 512, slots, 3, limit=0) for i in range(4)]
+    assert (sum(c for c, _ in parts) == slots).all()
+    assert all(c.sum() == 512 for c, _ in parts)
+    assert (np.cumsum([c for c, _ in parts], 0)[:-1] == [f for _, f in parts[1:]]).all()

@@ -26,12 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunelake.llm.common import SIZE_WORD, fresh, numbered, small_batches, stored, word_count
+from tunelake.llm.common import SIZE_WORD, filled, fresh, numbered, small_batches, stored, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: numpy draws a split exactly up to this many slots; above, the split is in proportion (the draw
-#: would deviate from that by less than one in ten thousand).
-EXACT_SLOTS = 500_000_000
+#: numpy draws a split up to this many slots; above, ``hypergeometric`` does.
+NUMPY_SLOTS = 500_000_000
 
 
 # --- pseudorandom permutations of 0..n-1 ----------------------------------------------------------
@@ -124,20 +123,66 @@ def planned(number: int, words: int, target: float, block: int, seed: int) -> So
     return Source(number, words, target, blocks, epochs * blocks + r, rest - upto(r - 1))
 
 
-def shard_counts(shard: int, n_shards: int, per_shard: int, slots: np.ndarray, seed: int
-                 ) -> tuple[np.ndarray, np.ndarray]:
+def _log_factorials(m: int, k: int) -> float:
+    """log(m! / k!), also of very large numbers near each other."""
+    if min(m, k) < 1000:
+        return math.lgamma(m + 1) - math.lgamma(k + 1)
+    d = k - m
+    # The difference of two Stirling series, without their large equal parts.
+    return d - d * math.log(m) - (k + 0.5) * math.log1p(d / m) + (1 / m - 1 / k) / 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` things drawn from ``good`` and ``bad`` ones are good, for numbers of any size:
+    rejection from a hat around the mode, which holds for every log-concave distribution."""
+    if not good or not n:
+        return 0
+    if not bad or n == good + bad:
+        return min(good, n)
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+
+    def log_ratio(k: int) -> float:
+        return (_log_factorials(mode, k) + _log_factorials(good - mode, good - k)
+                + _log_factorials(n - mode, n - k) + _log_factorials(bad - n + mode, bad - n + k))
+
+    whole = good + bad
+    variance = n * (good / whole) * (bad / whole) * ((whole - n) / max(1, whole - 1))
+    # No more than the mode's probability may be in the hat; the normal density is near it.
+    top = min(1.0, 0.95 / math.sqrt(2 * math.pi * variance + 1))
+    w = 1 + top / 2
+    while True:
+        u, v, accept, sign = rng.random(), rng.random(), rng.random(), rng.random() < 0.5
+        far = u > w / (1 + w)
+        e = -math.log(1 - v) if far else 0.0
+        y = (w + e) / top if far else v * w / top
+        x = round(y)
+        k = mode - x if sign else mode + x
+        if low <= k <= high and math.log(1 - accept) - e <= log_ratio(k):
+            return k
+
+
+def split(rng: np.random.Generator, counts: np.ndarray, n: int, limit: int) -> np.ndarray:
+    """How many of each count are among ``n`` drawn: a chain of draws, one count at a time."""
+    if counts.sum() < limit:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, count in enumerate(counts.tolist()):
+        rest -= count
+        out[i] = hypergeometric(rng, count, rest, n)
+        n -= int(out[i])
+    return out
+
+
+def shard_counts(shard: int, n_shards: int, per_shard: int, slots: np.ndarray, seed: int,
+                 limit: int = NUMPY_SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in a shard, and the ordinal of the first of each."""
     counts, first = slots.astype(np.int64), np.zeros(len(slots), np.int64)
     low, high = 0, n_shards
     while high - low > 1:
         middle = (low + high) // 2
         n_left = (middle - low) * per_shard
-        if counts.sum() < EXACT_SLOTS:
-            left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(
-                counts, n_left, method="marginals")
-        else:  # cumulative rounding: exact in total, within one slot for each source
-            edges = [0, *(int(x) * n_left // int(counts.sum()) for x in np.cumsum(counts))]
-            left = np.minimum(np.diff(edges), counts)
+        left = split(np.random.default_rng([seed, low, high]), counts, n_left, limit)
         if shard < middle:
             counts, high = left, middle
         else:
@@ -148,21 +193,38 @@ def shard_counts(shard: int, n_shards: int, per_shard: int, slots: np.ndarray, s
 # --- the mix ------------------------------------------------------------------------------------
 
 
+def _dealt(sized: DataFrame, chunks: int, chunk_rows: int) -> DataFrame:
+    """Rows with the chunk they are dealt to, by id and text alone, and their ``__copy`` number there.
+    Rows that agree in both can change places. If they are more than ``chunk_rows``, they are
+    numbered (in parts, by the stored row number) and every ``chunk_rows`` of them dealt anew."""
+    rows = sized.where("__size > 0").select("__row", "__sid", "__size", "__key")
+    same = ["__sid", "__key"]
+    hot = rows.groupBy(*same).count().where(F.col("count") > chunk_rows).select(*same)
+    part = F.pmod(F.xxhash64("__row"), F.lit(256)).alias("__part")
+    many = stored(rows.join(hot, same).select("*", part), "copies")
+    before = Window.partitionBy(*same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = many.groupBy(*same, "__part").count().select(
+        *same, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy(*same, "__part").orderBy("__row")
+    many = many.withColumn("__n", F.row_number().over(inside) - 1).join(
+        firsts, [*same, "__part"]).withColumn("__copy", F.col("__first") + F.col("__n"))
+    few = rows.join(hot, same, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    chunk = F.pmod(F.xxhash64("__key", F.floor(F.col("__copy") / chunk_rows)), F.lit(chunks))
+    columns = ["__row", "__sid", "__size", "__key", "__copy"]
+    return few.select(*columns).unionByName(many.select(*columns)).withColumn("__chunk", chunk)
+
+
 def _spans(sized: DataFrame, block: int, chunk_rows: int) -> DataFrame:
     """Each row's place in its source's stream: ``__from`` (0 at the start of the stream). Rows are
     dealt to chunks at random; chunk totals give the chunks' places, so no source is in one task."""
     rows = sized.count()
     chunks = max(64, -(-rows // chunk_rows))
-    key = F.xxhash64("__id", "__row")
-    dealt = sized.select(
-        "__row", "__sid", "__size", key.alias("__key"),
-        F.pmod(key, F.lit(chunks)).alias("__chunk"),
-    ).where("__size > 0")
+    dealt = _dealt(sized, chunks, chunk_rows)
     before = Window.partitionBy("__sid").orderBy("__chunk").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("__sid", "__chunk").agg(F.sum("__size").alias("__sum")).select(
         "__sid", "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__sid", "__chunk").orderBy("__key", "__row").rowsBetween(
+    within = Window.partitionBy("__sid", "__chunk").orderBy("__key", "__copy", "__row").rowsBetween(
         Window.unboundedPreceding, -1)
     return dealt.join(offsets, ["__sid", "__chunk"]).select(
         "__row", "__sid", "__size",
@@ -245,7 +307,8 @@ def mixed(
     and weigh ``weights``, repeating.
 
     Sizes are words; null and empty texts have none and are never taken. A source without words has
-    the target 0. Repeated rows are rows of their own. An empty table gives empty results. Extra
+    the target 0. Repeated rows are rows of their own. What is taken depends on ids, sources and
+    texts alone, not on the order or the split of the scan. An empty table gives empty results. Extra
     columns are not looked at. The driver holds one line per source and nothing per document.
     """
     spark = docs.sparkSession
@@ -253,6 +316,7 @@ def mixed(
         (F.col(place) if place else F.monotonically_increasing_id()).alias("__row"),
         F.col(row_id).alias("__id"),
         F.col(source).cast("string").alias("__source"), word_count(text).alias("__size"),
+        F.xxhash64(F.col(row_id).cast("string"), filled(text)).alias("__key"),
     ), "sizes")
     found = sized.groupBy("__source").agg(F.sum("__size").alias("words")).collect()
     found.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
@@ -265,7 +329,7 @@ def mixed(
     # One line per source, which weights have to be given for: small enough to send to all tasks.
     rows = sized.alias("d").join(
         F.broadcast(table.alias("s")), F.expr("d.__source <=> s.__source")
-    ).select("d.__row", "d.__id", "s.__sid", "d.__size", "s.source_size", "s.target")
+    ).select("d.__row", "d.__id", "s.__sid", "d.__size", "d.__key", "s.source_size", "s.target")
     pieces = _pieces(_spans(rows, block, chunk_rows), block)
     slots = _slots(spark, plan, block, per_shard, seed)
     # Spark takes the slots for small, as it doesn't see what a shard becomes; they grow with the
@@ -275,7 +339,7 @@ def mixed(
         F.col("__word").alias("start"),
         F.least(F.col("__n"), F.col("__take") - F.col("__at")).alias("n_words"),
     )
-    return Mix(rows.withColumnRenamed("__size", "size"), spans)
+    return Mix(rows.drop("__key").withColumnRenamed("__size", "size"), spans)
 
 
 def taken(mix: Mix) -> DataFrame:
