@@ -82,7 +82,7 @@ def test_edges(spark, model):
         for r in found:
             by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text, r.n_lines, r.rendered))
         assert [t[1:3] for t in sorted(by[1])] == [
-            ("user", "hi\nthere"), ("assistant", "yes"), ("user", "more?")]
+            *[("user", "hi\nthere"), ("assistant", "yes")] * 2, ("user", "more?")]
         assert sum(t[3] for t in by[2]) == 2 and "".join(t[2] for t in by[2]) == ""
         assert by[None][0][1:3] == ("user", "null")
         assert [t[1] for t in sorted(by[3])] == ["system", "assistant", "user"]
@@ -102,3 +102,16 @@ def test_query_covers_all_lines(spark):
     assert {r.conv_id for r in rows} == {r.conv_id for r in truth.select("conv_id").collect()}
     words = sum(len(r.text.split()) for r in truth.collect())
     assert sum(len(r.text.split()) for r in rows) >= words
+
+
+def test_no_turn_is_lost(spark, model):
+    """Equal turns at one place, null places, and many rows without a transcript's id."""
+    rows = [(1, 0, "User: hi")] * 3 + [(1, None, "User: hi")] * 2 + [(2, 5, "Bot: yes"), (2, 5, "Bot: yes")]
+    rows += [(None, None, "Human: same")] * 500 + [(None, 3, "Human: same")] * 20 + [(3, 0, None)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    got = chat.recovered(df, model, chunk=64).collect()
+    assert sum(r.n_lines for r in got) == len(rows)
+    numbers = sorted(r.turn for r in got if r.conv_id is None)
+    assert numbers == list(range(520))
+    chunks = chat.segments(df, chunk=64).groupBy("conv", "chunk").count().collect()
+    assert max(r["count"] for r in chunks) <= 64

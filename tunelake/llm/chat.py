@@ -169,19 +169,26 @@ def _grouped(work: Callable[[tuple, list[dict]], list[dict]], schema: pa.Schema,
 
 def segments(df: DataFrame, text: str | Column = "text", conv: str = "conv_id",
              order: str = "turn", chunk: int = CHUNK, *more: str) -> DataFrame:
-    """``conv``, ``chunk``, ``place``, ``text``: the transcript's pieces. Rows that agree in all of
-    them are one piece."""
+    """``conv``, ``chunk``, ``place``, ``text``: all of the transcripts' pieces, numbered through in order;
+    a chunk is what a transcript has among ``chunk`` consecutive numbers. Rows go to tasks by range,
+    equal ones also by where they were read, so that neither a transcript nor a place is one
+    task's. The numbers are this table's own: store it to use them twice."""
     body = filled(text) if isinstance(text, str) else F.coalesce(text, F.lit(""))
-    return df.select(
+    rows = df.select(
         F.col(conv).cast("long").alias("conv"), F.col(order).cast("long").alias("place"),
-        F.floor(F.col(order) / chunk).cast("long").alias("chunk"), body.alias("text"), *more,
-    ).dropDuplicates(["conv", "place", "text"])
+        body.alias("text"), *more, F.monotonically_increasing_id().alias("salt"))
+    by = [*rows.columns[:3], *rows.columns[3:]]
+    number = F.monotonically_increasing_id()
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(
+        "conv", number.alias("place"), F.floor(number / chunk).alias("chunk"), "text",
+        *rows.columns[3:-1])
 
 
 def fitted(known: DataFrame, text: str = "text", role: str = "role", conv: str = "conv_id",
            order: str = "turn") -> Model:
     """A model from segments with known roles, each segment a turn. All rows count; only the sums
-    (a few hundred) reach the driver. Unknown or null roles are left out."""
+    (a few hundred) reach the driver. Unknown or null roles are left out. Steps from one chunk to the
+    next aren't counted."""
     schema = pa.schema([("what", pa.string()), ("a", pa.int64()), ("b", pa.int64()),
                         ("n", pa.int64())])
 
@@ -241,15 +248,13 @@ def recovered(transcripts: DataFrame, model: Model, text: str | Column = "text",
     """One row per recovered turn: conv_id, turn (from 0), role, text, n_lines and ``rendered``.
 
     ``transcripts`` has the segments of the transcripts in ``order``. Null text is an empty line;
-    rows that agree in transcript, place and text count once; other rows at the same place go by
-    their text; a null place comes first; null transcripts are one transcript. Markers are taken off
+    rows at the same place go by their text, and equal ones all stay; a null place comes first; rows
+    without a transcript's id are one transcript. Markers are taken off
     the first line of a turn, and blank lines off its ends. An empty table gives an empty result.
     Other columns are not looked at.
     """
     rows = stored(segments(transcripts, text, conv, order, chunk), "segments")
-    # A null place sorts first and so does its chunk.
-    chunks = rows.select("conv", F.coalesce("chunk", F.lit(-(2**62))).alias("chunk")).distinct()
-    rows = rows.withColumn("chunk", F.coalesce("chunk", F.lit(-(2**62))))
+    chunks = rows.select("conv", "chunk").distinct()
     spread = chunks.groupBy("conv").agg(F.count("*").alias("n"), F.min("chunk").alias("least"))
     # Stored, so that the joins with it can split a transcript that has a large part of all rows.
     long_ones = stored(spread.where("n > 1"), "long")
