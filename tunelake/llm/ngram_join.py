@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.llm.common import (
-    among, batches_of, filled, fresh, numbered, small_batches, stored, without_rows,
+    among, batches_of, filled, fresh, numbered, small_batches, spent, stored, without_rows,
 )
 
 WORDS, THRESHOLD = 5, 0.8
@@ -201,12 +201,9 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         "text_id", "__text").mapInArrow(read, "text_id long, set binary")
 
 
-def _blocked(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+def _blocked(members: DataFrame, sizes: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Each member of a group once for each pair of blocks that its block is in: ``bi`` <= ``bj``.
     Groups of up to ``block`` members are one block. Members go to blocks by hash."""
-    # Stored, so that the join below has a plain exchange on either side and can split a large group.
-    sizes = stored(members.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"),
-                   "sizes")
     n = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("text_id", F.lit(3)), F.col("blocks")).cast("int")
     return members.join(sizes, keys).withColumn("blocks", n).withColumn("mine", mine).select(
@@ -224,7 +221,10 @@ def _candidates(signed: DataFrame, depth: int, before: int | None, threshold: fl
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: F.xxhash64(F.substring(F.col("sig"), t * steps * 4 + 1, F.lit(depth * 4)), t)))
     paths = signed.select("text_id", prefix.alias("tree", "bucket"))
-    members = _blocked(paths, ["tree", "bucket"], block)
+    keys = ["tree", "bucket"]
+    # Stored, so that the join with it has a plain exchange on either side and can split a large group.
+    sizes = stored(paths.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = _blocked(paths, sizes, keys, block)
     # Only texts that share a bucket with another one bring their signatures along.
     members = members.join(signed.select("text_id", "sig"), "text_id")
 
@@ -252,11 +252,14 @@ def _candidates(signed: DataFrame, depth: int, before: int | None, threshold: fl
         ], ["tree", "bucket", "bi", "bj", "part", "mine", "text_id"])
 
     keys = ["tree", "bucket", "bi", "bj"]
-    return members.select(
+    found = stored(members.select(
         *(F.col(k).cast("long").alias(k) for k in keys), "mine", "text_id", "sig"
     ).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
         _grouped(compare, keys),
-        "tree long, bucket long, bi long, bj long, part long, mine long, text_id long")
+        "tree long, bucket long, bi long, bj long, part long, mine long, text_id long"),
+        "candidates")
+    spent(sizes)
+    return found
 
 
 def _verified(found: DataFrame, signed: DataFrame, sets: DataFrame, depth: int, before: int | None,
@@ -336,8 +339,10 @@ def connected(links: DataFrame) -> DataFrame:
             "text_id", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")
         changed = now.join(labels.withColumnRenamed("root", "was"), "text_id").where(
             "root <> was").limit(1).count()
+        spent(labels)
         labels = now
         if not changed:
+            spent(both)
             return labels
 
 
@@ -353,7 +358,7 @@ def near_duplicates(
     target: float = 0.999,
     trees: int = TREES,
     depth: int = DEPTH,
-    block: int = 256,
+    block: int = 1024,
     seed: int = 3,
     place: str | None = None,
 ) -> DataFrame:
@@ -375,21 +380,22 @@ def near_duplicates(
     signed = stored(_signed(rows.select("__row", "__text"), n, seeds), "signatures")
     ids = rows.select("__row", "__id")
     # Equal sets are one text from here on; the place of the first row is its number.
-    places = signed.select("__row", "same").join(ids, "__row")
+    places = stored(signed.select("__row", "same").join(ids, "__row"), "places")
     classes = stored(places.groupBy("same").agg(
         F.min("__row").alias("text_id"), F.count("*").alias("copies"),
         F.min("__id").alias("text_class")), "classes")
     texts = stored(
         signed.join(classes.select(F.col("text_id").alias("__row"), "copies"), "__row").select(
             F.col("__row").alias("text_id"), "sig", "copies"), "texts")
+    spent(signed)
 
     results, before = None, None
     for level in range(depth, 0, -2):
-        found = stored(_candidates(texts, level, before, threshold, trees, steps, block),
-                       "candidates")
+        found = _candidates(texts, level, before, threshold, trees, steps, block)
         sets = stored(_sets(rows, found.select("text_id").distinct(), n), "sets")
         links = stored(_verified(found, texts, sets, level, before, threshold, trees, steps),
                        "links")
+        spent(found, sets)
         results = links if results is None else results.unionByName(links)
         before = level
         # Links by similarity: at most a thousand lines, whatever the size of the table.
@@ -398,6 +404,7 @@ def near_duplicates(
         likely = sum(r.n / float(chance((r.a + 0.5) / 1000, level, trees)) for r in seen)
         if (not count or count / likely >= target) and chance(threshold, level, trees) >= target:
             break
+    spent(texts, *([] if place else [rows]))
     links = results.where("kind = 0").groupBy(F.col("a").alias("text_id")).agg(
         F.sum("n").alias("n"))
     roots = connected(results.where("kind = 1"))
