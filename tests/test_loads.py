@@ -404,3 +404,71 @@ def test_checkpoint_folder_named_by_the_session(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
                          timeout=120, cwd=os.path.dirname(os.path.dirname(__file__)))
     assert out.stdout.strip().endswith(str(tmp_path))
+
+
+def test_a_day_without_pages_stops_the_load(spark, tmp_path):
+    """An empty folder, and one that isn't there."""
+    page = {"data": [], "page": 0, "page_size": 5, "total": 0, "has_more": False}
+    path = tmp_path / "stream_events"
+    for day in (DAY1, DAY2):
+        (path / f"date={day}").mkdir(parents=True)
+    (path / f"date={DAY1}" / "p.json").write_text(json.dumps(page))
+    assert landing.read_pages(spark, str(path), "stream_events", [DAY1]).count() == 0
+    with pytest.raises(ValueError, match=f"lack the days.*{DAY2}"):
+        landing.read_pages(spark, str(path), "stream_events", [DAY1, DAY2])
+    with pytest.raises(Exception):
+        landing.read_pages(spark, str(path), "stream_events", [DAY1, date(2025, 1, 9)])
+
+
+def marts_of(store):
+    return {name: sorted(map(str, store.read("marts", name).collect())) for name in jobs.MARTS}
+
+
+def rebuilt(store):
+    jobs.build(store)
+    return marts_of(store)
+
+
+def test_refreshed_marts_equal_rebuilt_ones(spark, store):
+    """New events, changed values and users, an event that moves to another day, a day that
+    empties, and events without a day."""
+    for table in ("artists", "albums", "tracks", "users"):
+        store.replace("raw", table, landing.typed(raw_tables(spark)[table], table))
+    untimed = event("n")[:3] + (None,) + event("n")[4:]
+    day3 = date(2025, 1, 5)
+    batches = [
+        [event("a"), event("b"), event("c", DAY2), event("d", day3)],
+        [event("b", played=7, hour=4), event("e", DAY2, played=90_000)],
+        [event("d", DAY1), untimed],
+        [event("a", played=2), event("c", DAY2, played=3)],
+        [event("a", played=2), event("c", DAY2, played=3)],
+    ]
+    for n, rows in enumerate(batches):
+        days = jobs.refresh(store, batch(spark, *rows))
+        if n == 2:
+            assert days == {DAY1, day3, None}
+        assert marts_of(store) == rebuilt(store)
+
+
+def test_a_refresh_that_was_cut_off_is_made_good(spark, store, monkeypatch):
+    for table in ("artists", "albums", "tracks", "users"):
+        store.replace("raw", table, landing.typed(raw_tables(spark)[table], table))
+    jobs.refresh(store, batch(spark, event("a"), event("b", DAY2)))
+
+    def cut_off(*_args):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs, "build_marts", cut_off)
+        with pytest.raises(RuntimeError):
+            jobs.refresh(store, batch(spark, event("a", played=9)))
+    jobs.refresh(store, batch(spark, event("c", DAY2)))
+    assert marts_of(store) == rebuilt(store)
+    values = store.read("marts", jobs.USER_VALUES).where("kind = 'day'").collect()
+    assert sum(r.n for r in values) == 3
+
+
+def test_refresh_reads_the_touched_days_only(spark, store):
+    store.merge_events(batch(spark, event("a"), event("b", DAY2)))
+    plan = jobs._touched(store, {DAY2})["stg_stream_events"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "event_date" in plan.split("PartitionFilters: [")[1]

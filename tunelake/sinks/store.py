@@ -27,6 +27,20 @@ def schema_name(layer: str | None, env: str, default: str = "main") -> str:
     return layer.strip() if env == "prod" else f"dev_{layer.strip()}"
 
 
+@dataclass(frozen=True)
+class Merge:
+    """A batch of events as files, the days it has, and other days that hold older copies."""
+
+    batch: DataFrame
+    days: set
+    moved: set
+    latest_by: str | None
+
+    @property
+    def touched(self) -> set:
+        return self.days | self.moved
+
+
 @dataclass(frozen=True)
 class Store:
     """Parquet tables below a root folder that all executors can reach. The event table is
@@ -88,19 +102,29 @@ class Store:
         A run that is cut off may leave some days rewritten and others not, or a moved event in two
         days: the days are replaced one by one. Running the merge again mends that, as it finds
         the older copies by key; with ``day_in_key`` no event is ever in two days."""
+        self.apply_merge(self.plan_merge(batch, latest_by, day_in_key))
+
+    def plan_merge(
+        self, batch: DataFrame, latest_by: str | None = None, day_in_key: bool = False
+    ) -> Merge:
+        """A merge worked out, with nothing written to the table yet."""
         key = PRIMARY_KEY[EVENTS]
         batch = self._materialised(_with_day(batch))
         refuse_null_keys(batch, key)
-        keys = batch.select(key).distinct()
-        stored = self.read("raw", EVENTS)
-        days = _days(batch)
-        moved = set()
-        if not day_in_key:
-            moved = _days(stored_matches(stored.select(key, DAY), keys, key)) - days
-        if not days:
+        days, moved = _days(batch), set()
+        if days and not day_in_key:
+            stored = self.read("raw", EVENTS).select(key, DAY)
+            moved = _days(stored_matches(stored, batch.select(key).distinct(), key)) - days
+        return Merge(batch, days, moved, latest_by)
+
+    def apply_merge(self, merge: Merge) -> None:
+        key, moved = PRIMARY_KEY[EVENTS], merge.moved
+        if not merge.days:
             return
-        new = one_per_key(batch, key, latest_by).select(*stored.columns)
-        kept = stored.where(_in_days(days | moved)).join(keys, key, "left_anti")
+        stored = self.read("raw", EVENTS)
+        keys = merge.batch.select(key).distinct()
+        new = one_per_key(merge.batch, key, merge.latest_by).select(*stored.columns)
+        kept = stored.where(in_days(merge.touched)).join(keys, key, "left_anti")
         self._write("raw", EVENTS, kept.select(*stored.columns).unionByName(new), "overwrite",
                     whole=False)
         self._drop_stale_days(moved, keys)
@@ -111,19 +135,34 @@ class Store:
         """Add the rows of the batch whose key is not stored yet; stored rows win."""
         key = PRIMARY_KEY[table]
         stored = self.read("raw", table)
+        batch = self._materialised(_with_day(batch) if table == EVENTS else batch)
         refuse_null_keys(batch, key)
         if table == EVENTS:
-            batch = _with_day(batch)
             if day_in_key:
-                stored = stored.where(_in_days(_days(batch)))
+                stored = stored.where(in_days(_days(batch)))
         self._write("raw", table, new_rows(stored, batch, key, first_by), "append")
 
+    def append(self, layer: str, table: str, df: DataFrame) -> None:
+        self._write(layer, table, df, "append")
+
+    def drop(self, layer: str, table: str) -> None:
+        """Delete the table's folder, if there is one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(layer, table))
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def replace_days(self, table: str, days: set, fresh: DataFrame) -> None:
+        """The mart's rows of ``days`` become ``fresh``. A mart of days is a few hundred rows a day; it
+        is read and rewritten, with the result in the shared folder in between."""
+        kept = self.read("marts", table).where(~F.coalesce(in_days(days), F.lit(False)))
+        checkpoint_root(self.spark)
+        self.replace("marts", table, kept.unionByName(fresh).checkpoint())
+
     def _drop_stale_days(self, moved: set, keys: DataFrame) -> None:
         """Delete the days of which nothing is left because all their events moved to another day:
         an overwrite by partition leaves a day alone for which it has no rows."""
         if not moved:
             return
-        still_there = self.read("raw", EVENTS).where(_in_days(moved))
+        still_there = self.read("raw", EVENTS).where(in_days(moved))
         emptied = moved - _days(still_there.join(keys, PRIMARY_KEY[EVENTS], "left_anti"))
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         for day in emptied:
@@ -167,7 +206,7 @@ def _days(df: DataFrame) -> set:
     return {row[0] for row in df.select(DAY).distinct().collect()}
 
 
-def _in_days(days: set) -> Column:
+def in_days(days: set) -> Column:
     """A condition on the partition column, which prunes to these days."""
     listed = F.col(DAY).isin([d for d in days if d is not None])
     return listed | F.col(DAY).isNull() if None in days else listed

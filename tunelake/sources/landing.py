@@ -78,6 +78,12 @@ def read_pages(
     pages.write.parquet(copy)
     pages = spark.read.schema(pages.schema).parquet(copy)
     wrong = incomplete(pages, table).limit(5).collect()
+    if days is not None:
+        # No more than the days asked for.
+        found = {str(r[0]) for r in pages.select("date").distinct().collect()}
+        absent = sorted({day.isoformat() for day in days} - found)
+        if absent:
+            raise ValueError(f"the pages of {table} below {path} lack the days {absent}")
     if wrong or (days is None and pages.isEmpty()):
         raise ValueError(f"the pages of {table} below {path} are not complete: {wrong or 'none'}")
     return typed(pages.selectExpr("inline(data)"), table)
