@@ -20,6 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from tunelake.fixtures import mapping, oracle  # noqa: E402
 from tunelake.functions import keys, measures  # noqa: E402
+from tunelake.operators import ranking  # noqa: E402
 from tunelake.operators.lookups import lookup  # noqa: E402
 from tunelake.plans import jobs, marts, patterns, quality_suite, reports  # noqa: E402
 from tunelake.schemas import RAW  # noqa: E402
@@ -336,6 +337,35 @@ def built_daily_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(store.read("marts", "daily_listening_stats"), "avg_pct_played")
 
 
+def _refreshed(mart: str) -> Query:
+    """Load the first two thirds of the days, the middle third with other values and days of its own
+    devices; build; then merge the last two thirds as they are, refreshing the marts. What the
+    marts hold is then that of the events themselves."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        store = _store(spark, "refresh")
+        for table in ("artists", "albums", "tracks", "users"):
+            store.replace("raw", table, _raw_table(spark, sf, table))
+        events, (first, last) = _raw_table(spark, sf, EVENTS), _span(spark, sf)
+        low, high = (first + timedelta(days=n * (last - first).days // 3) for n in (1, 2))
+        altered = _longer(events_between(events, low, high)).withColumns({
+            "platform": F.lit("web"), "completed": F.lit(True), "user_id": F.lit("1")})
+        before = events_between(events, first, low - timedelta(days=1)).unionByName(altered)
+        jobs.refresh(store, before, day_in_key=True)
+        jobs.refresh(store, events_between(events, low, last), day_in_key=True)
+        return _rounded(store.read("marts", mart), "avg_pct_played")
+    return run
+
+
+def global_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every track by its streams, and of every part by its order lines."""
+    tracks = _events(spark, sf).groupBy("track_id").agg(F.count("*").alias("streams"))
+    parts = mapping.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("track_id")).agg(
+        F.count("*").alias("streams"))
+    return ranking.global_rank(tracks, "streams", "track_id").withColumn(
+        "source", F.lit("events")).unionByName(
+        ranking.global_rank(parts, "streams", "track_id").withColumn("source", F.lit("lines")))
+
+
 def enriched_view(spark: SparkSession, sf: str) -> DataFrame:
     """Backfill, enter the models in the catalog, read the lasting view back by its name."""
     publish(_history(spark, sf, "view"), [])
@@ -409,20 +439,19 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """The events arrive in several files, one per batch and the newest days first, and then all
-    once more; each is kept once."""
+    """The events arrive a third at a time, the newest days first, and then all once more; each
+    arrival is a run of the stream, which goes on where the last one ended. Each event is kept once."""
     path, (first, last) = scratch_path(spark, "dedup"), _span(spark, sf)
     raw = mapping.raw_table(spark, sf, EVENTS)
     third = (last - first).days // 3
     edges = [first, first + timedelta(days=third), first + timedelta(days=2 * third)]
     parts = list(zip(edges, [*(d - timedelta(days=1) for d in edges[1:]), last]))
-    for a, b in [*reversed(parts), *reversed(parts)]:
-        events_between(raw, a, b).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(
-        f"{path}/in")
-    ingest.to_table(
-        ingest.deduplicated(stream), f"{path}/rows", f"{path}/checkpoint"
-    ).awaitTermination()
+    for n, (a, b) in enumerate([*reversed(parts), *reversed(parts)]):
+        events_between(raw, a, b).write.parquet(f"{path}/in/arrival={n}")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{path}/in/arrival=*")
+        ingest.to_table(
+            ingest.deduplicated(stream), f"{path}/rows", f"{path}/checkpoint"
+        ).awaitTermination()
     return spark.read.schema(raw.schema).parquet(f"{path}/rows")
 
 
@@ -496,6 +525,9 @@ def queries() -> dict[str, Query]:
         "daily_load": daily_load,
         "backfill_rows": backfill_rows,
         "built_daily_stats": built_daily_stats,
+        "incremental_marts": _refreshed("user_activity"),
+        "incremental_days": _refreshed("daily_listening_stats"),
+        "global_rank": global_rank,
         "enriched_view": enriched_view,
         "date_range_scan": date_range_scan,
         "row_counts": row_counts,
@@ -601,6 +633,16 @@ def oracle_sql() -> dict[str, str]:
         "backfill_rows": " UNION ALL ".join(
             f"SELECT 'raw.{t}' AS \"table\", COUNT(*) AS n_rows FROM raw_{t}" for t in RAW),
         "built_daily_stats": rows("daily_listening_stats"),
+        "incremental_marts": "SELECT * REPLACE (CAST(user_id AS VARCHAR) AS user_id) "
+                             "FROM user_activity",
+        "incremental_days": rows("daily_listening_stats"),
+        "global_rank": """
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY streams DESC,
+                                         track_id NULLS LAST) AS rank
+            FROM (SELECT 'events' AS source, track_id, COUNT(*) AS streams
+                  FROM stg_stream_events GROUP BY track_id
+                  UNION ALL
+                  SELECT 'lines', l_partkey, COUNT(*) FROM lineitem GROUP BY l_partkey)""",
         "enriched_view": "SELECT * REPLACE (CAST(event_id AS VARCHAR) AS event_id, "
                          "CAST(track_id AS VARCHAR) AS track_id, "
                          "CAST(user_id AS VARCHAR) AS user_id) FROM int_enriched_events",

@@ -134,3 +134,19 @@ def test_large_dimension_plan_shuffles_on_key_and_salt(spark, no_broadcast):
     plan = lookups.lookup(fact, dim, "k", spread="id")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
     assert "__part" in plan
+
+
+def test_global_rank_numbers_every_row(spark):
+    """Ties, NULLs and many ranges; the plan has no window over the keys."""
+    from tunelake.operators.ranking import global_rank
+
+    rows = [(i, i % 7 if i % 10 else None) for i in range(500)] + [(None, 3), (None, None)]
+    df = spark.createDataFrame(rows, "k int, n int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["rank"], r.k, r.n) for r in global_rank(df, "n", "k").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is None, r[0] or 0))
+    assert got == [(i, *r) for i, r in enumerate(order, 1)]
+    assert global_rank(df.where("1 = 0"), "n", "k").collect() == []

@@ -15,8 +15,9 @@ from tunelake.plans.patterns import pattern_summary
 from tunelake.plans.quality_suite import all_tests
 from tunelake.plans.staging import stage
 from tunelake.schemas import DIMENSIONS, EVENTS, RAW
+from tunelake.session import scratch_path
 from tunelake.sinks.catalog import publish
-from tunelake.sinks.store import Store
+from tunelake.sinks.store import Store, in_days
 from tunelake.sources.landing import read_pages
 from tunelake.sources.tables import day_range, events_between
 
@@ -106,6 +107,67 @@ def build(store: Store, parallel: int = 4) -> None:
     publish(store, list(MARTS))
 
 
+#: Sums behind ``user_activity``, kept from load to load: what each refresh adds and takes away.
+USER_VALUES, UNFINISHED = "user_values", "refresh_not_finished"
+DAY_MARTS = [name for name in MARTS if name != "user_activity"]
+
+
+def _touched(store: Store, days: set) -> dict[str, DataFrame]:
+    """Staged models, of the events those of ``days`` only."""
+    raw = {table: store.read("raw", table) for table in RAW}
+    return stage(raw | {EVENTS: raw[EVENTS].where(in_days(days))})
+
+
+def build_values(store: Store) -> None:
+    """Start the sums behind ``user_activity`` anew, from all events."""
+    events = staged_models(store)["stg_stream_events"]
+    store.replace("marts", USER_VALUES, marts.user_values(events))
+    store.drop("marts", UNFINISHED)
+
+
+def refresh(
+    store: Store, batch: DataFrame, latest_by: str | None = None, day_in_key: bool = False
+) -> set:
+    """Merge a batch of events and bring the marts up to date at the cost of the days it touches,
+    which are returned. The marts of days replace these days. For ``user_activity``, the days' old
+    sums are taken off and their new ones added, as rows behind the stored sums, and the mart is made
+    of the sums; no other day's events are read.
+
+    Without stored sums (the first time, or after a refresh that was cut off) everything is built.
+    Dimensions are taken as they are: after a change of titles, genres or subscriptions, ``build``
+    brings the other days up to date.
+    """
+    store.create_raw_tables()
+    merge = store.plan_merge(batch, latest_by, day_in_key)
+    if not store.exists("marts", USER_VALUES) or store.exists("marts", UNFINISHED):
+        store.apply_merge(merge)
+        build(store)
+        build_values(store)
+        return merge.touched
+    if not merge.days:
+        return set()
+    spark, days = store.spark, merge.touched
+    negated = [f"-{c} as {c}" for c in marts.VALUES]
+    store.replace("marts", UNFINISHED, spark.createDataFrame([(True,)], "begun boolean"))
+    old = marts.user_values(_touched(store, days)["stg_stream_events"]).selectExpr(
+        "user_id", "kind", "value", *negated)
+    path = scratch_path(spark, "old-values")
+    old.write.parquet(path)
+    store.apply_merge(merge)
+    staged = _touched(store, days)
+    new = marts.user_values(staged["stg_stream_events"])
+    store.append("marts", USER_VALUES, marts.summed_values(
+        spark.read.schema(old.schema).parquet(path), new, keep_zero=True))
+    for name, df in build_marts(staged, DAY_MARTS).items():
+        store.replace_days(name, days, df)
+    values = marts.summed_values(store.read("marts", USER_VALUES))
+    store.replace("marts", "user_activity", marts.activity_of(
+        values, staged["stg_tracks"], staged["stg_artists"], staged["stg_users"]))
+    store.drop("marts", UNFINISHED)
+    publish(store, list(MARTS))
+    return days
+
+
 def stored_models(store: Store) -> dict[str, DataFrame]:
     """Every model the tests know: raw and staged tables, enriched events, and stored marts."""
     staged = staged_models(store)

@@ -186,6 +186,45 @@ def genre_trends(
     ).orderBy(F.desc("event_date"), F.asc("daily_rank"))
 
 
+NAMES = [a.rsplit(" as ", 1)[1] for a in ADDITIVE]
+VALUES = ["n", *NAMES[1:]]
+
+
+def _plays(events: DataFrame) -> DataFrame:
+    return events.groupBy("user_id", "track_id").agg(F.expr("count(*) as n"))
+
+
+def _used(events: DataFrame) -> DataFrame:
+    """Rows of (user, kind, value) for the days, platforms and devices of a user, with measures for
+    the days."""
+    used = events.groupBy("user_id", "event_date", "platform", "device_type").agg(
+        *_exprs(ADDITIVE))
+    sums, none = ", ".join(NAMES), ", ".join(f"cast(null as {t})" for _, t in used.dtypes[4:])
+    return used.selectExpr(
+        "user_id",
+        f"stack(3, 'day', cast(event_date as string), {sums}, "
+        f"'platform', platform, streams, {none.split(', ', 1)[1]}, "
+        f"'device', device_type, streams, {none.split(', ', 1)[1]}) as (kind, value, {sums})",
+    ).withColumnRenamed("streams", "n")
+
+
+def user_values(events: DataFrame) -> DataFrame:
+    """What ``user_activity`` needs of the events, in sums that can be added and subtracted: rows of
+    (user, kind, value) for tracks, days, platforms and devices."""
+    plays = _plays(events).selectExpr(
+        "user_id", "'track' as kind", "cast(track_id as string) as value", "n")
+    return summed_values(_stack(plays, _used(events)))
+
+
+def summed_values(*parts: DataFrame, keep_zero: bool = False) -> DataFrame:
+    """One row per (user, kind, value) that is still there; with ``keep_zero``, that has changed: its
+    measures may differ although the number of streams is the same."""
+    sums = _stack(*parts).groupBy("user_id", "kind", "value").agg(*_exprs([
+        f"sum({c}) as {c}" for c in VALUES]))
+    changed = " or ".join(f"coalesce({c}, 0) <> 0" for c in VALUES)
+    return sums.where(changed if keep_zero else "n <> 0")
+
+
 def user_activity(
     events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame
 ) -> DataFrame:
@@ -196,25 +235,29 @@ def user_activity(
     used, and how often. These are summed once on all three, so that even the busiest user's rows
     are spread over tasks, and arrive at the user as one row per value.
     """
-    plays = events.groupBy("user_id", "track_id").agg(F.expr("count(*) as n"))
+    return _activity(_plays(events), _used(events), tracks, artists, users, events)
+
+
+def activity_of(
+    values: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame
+) -> DataFrame:
+    """The same from ``user_values``, without the events."""
+    plays = values.where("kind = 'track'").selectExpr("user_id", "value as track_id", "n")
+    return _activity(plays, values.where("kind <> 'track'"), tracks, artists, users, plays)
+
+
+def _activity(
+    plays: DataFrame, used: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame,
+    keys_of: DataFrame,
+) -> DataFrame:
     songs = catalog(tracks, artists).select("track_id", "artist_id", "genre")
-    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=events).selectExpr(
+    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=keys_of).selectExpr(
         "user_id",
         "stack(2, 'genre', genre, n, 0L, 'artist', cast(artist_id as string), 0L, "
         "cast(track_id is not null as bigint)) as (kind, value, n, tracks)",
     )
-    used = events.groupBy("user_id", "event_date", "platform", "device_type").agg(
-        *_exprs(ADDITIVE))
-    names = [a.rsplit(" as ", 1)[1] for a in ADDITIVE]
-    sums, none = ", ".join(names), ", ".join(f"cast(null as {t})" for _, t in used.dtypes[4:])
-    used = used.selectExpr(
-        "user_id",
-        f"stack(3, 'day', cast(event_date as string), {sums}, "
-        f"'platform', platform, streams, {none.split(', ', 1)[1]}, "
-        f"'device', device_type, streams, {none.split(', ', 1)[1]}) as (kind, value, {sums})",
-    ).withColumnRenamed("streams", "n")
     per_value = _stack(heard, used).groupBy("user_id", "kind", "value").agg(*_exprs([
-        f"sum({c}) as {c}" for c in ("n", "tracks", *names[1:])]))
+        f"sum({c}) as {c}" for c in ("n", "tracks", *NAMES[1:])]))
 
     def known(kind: str, what: str = "value") -> str:
         return f"case when kind = '{kind}' and value is not null then {what} end"
