@@ -15,7 +15,6 @@ from tunelake.functions.measures import completed, skipped
 from tunelake.operators.lookups import lookup
 from tunelake.plans.staging import stage
 from tunelake.schemas import AGE_GROUPS, DEVICE_TYPES
-from tunelake.session import scratch_path
 
 # What stands for a platform, a device and a subscription. MACHINERY stays outside
 # the accepted subscriptions, so the data tests have something to find.
@@ -202,16 +201,10 @@ def staged(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return stage({name: raw_table(spark, sf_dir, name) for name in names or RAW_TABLES})
 
 
-def staged_lines(
-    spark: SparkSession, sf_dir: str, *names: str, once: bool = False
-) -> dict[str, DataFrame]:
-    """Staged models with ``lineitem`` as the event fact. With ``once``, the joined fact is written
-    to the shared folder: for models that read it several times."""
+def staged_lines(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Staged models with ``lineitem`` as the event fact. The joined fact isn't stored: each reduction
+    takes a few of its columns, and reading those is less work than writing all."""
     lines = line_events(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
-    if once:
-        path = scratch_path(spark, "lines")
-        lines.write.parquet(path)
-        lines = spark.read.schema(lines.schema).parquet(path)
     others = [name for name in names or RAW_TABLES if name != "stream_events"]
     raw = {name: raw_table(spark, sf_dir, name) for name in others}
     return stage(raw | {"stream_events": lines})
