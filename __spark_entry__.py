@@ -29,7 +29,7 @@ from tunelake.sinks.catalog import publish  # noqa: E402
 from tunelake.sinks.store import EVENTS, Store  # noqa: E402
 from tunelake.sources import landing  # noqa: E402
 from tunelake.sources.tables import events_between  # noqa: E402
-from tunelake.streaming import ingest  # noqa: E402
+from tunelake.streaming import distinct, ingest  # noqa: E402
 
 try:  # the operators for training text are optional: without their folder, everything else runs
     import corpus_pipeline
@@ -308,6 +308,16 @@ def landing_scan(spark: SparkSession, sf: str) -> DataFrame:
     return landing.read_pages(spark, f"{path}/tracks", "tracks").drop("_dlt_load_id", "_dlt_id")
 
 
+def unknown_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The tracks land with two fields that the schema lacks, one of them in some records only."""
+    path = scratch_path(spark, "landing")
+    tracks = mapping.raw_table(spark, sf, "tracks").selectExpr(
+        "*", "concat('code-', track_id) as code",
+        "if(popularity_rank <= 100, cast(popularity_rank as bigint), null) as peak")
+    landing.write_pages(tracks, f"{path}/tracks", "track_id div 500", 500)
+    return landing.field_types(landing.extra_fields(spark, f"{path}/tracks", "tracks"))
+
+
 def daily_load(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "load")
     first, last = _span(spark, sf)
@@ -466,6 +476,29 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{path}/rows"), "avg_pct_played")
 
 
+def stream_pages_complete(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd pages of all days arrive first, then the others; a day is merged once it is complete."""
+    store, landed = _store(spark, "complete", EVENTS), _land(spark, sf, EVENTS)
+    pages = landing.landed_pages(spark, f"{landed}/{EVENTS}", EVENTS)
+    for odd in (1, 0):
+        pages.where(f"page % 2 = {odd}").write.mode("append").partitionBy("date").json(
+            f"{store.root}/arriving")
+        ingest.merge_complete_days(
+            f"{store.root}/arriving", store, f"{store.root}/facts", f"{store.root}/checkpoint"
+        ).awaitTermination()
+    return _table(store, EVENTS)
+
+
+def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Users per day and per seven days, exact, from the stream's daily states."""
+    path = scratch_path(spark, "distinct")
+    states = distinct.daily_bitmaps(_event_stream(spark, sf), "user_id")
+    distinct.kept(states, f"{path}/states", f"{path}/checkpoint").awaitTermination()
+    states = spark.read.parquet(f"{path}/states")
+    return distinct.distinct_ids(states).withColumnRenamed("n_ids", "users").join(
+        distinct.distinct_ids(states, 7).withColumnRenamed("n_ids", "users_7_days"), "event_date")
+
+
 # --- contract ---------------------------------------------------------------------------------
 
 
@@ -518,6 +551,7 @@ def queries() -> dict[str, Query]:
         "upsert_ignore": upsert_ignore,
         "merge_events": merge_events,
         "landing_scan": landing_scan,
+        "unknown_fields": unknown_fields,
         "daily_load": daily_load,
         "backfill_rows": backfill_rows,
         "built_daily_stats": built_daily_stats,
@@ -537,6 +571,8 @@ def queries() -> dict[str, Query]:
         "stream_dedup": stream_dedup,
         "stream_merge": stream_merge,
         "stream_daily": stream_daily,
+        "stream_pages_complete": stream_pages_complete,
+        "stream_distinct": stream_distinct,
         **(llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
@@ -625,6 +661,9 @@ def oracle_sql() -> dict[str, str]:
         "upsert_ignore": _stored(EVENTS, second_load.format("> high")),
         "merge_events": _stored(EVENTS, second_load.format(">= low")),
         "landing_scan": _stored("tracks"),
+        "unknown_fields": "SELECT 'code' AS field, 'STRING' AS type, COUNT(*) AS records "
+                          "FROM raw_tracks UNION ALL SELECT 'peak', 'BIGINT', COUNT(*) "
+                          "FROM raw_tracks WHERE popularity_rank <= 100",
         "daily_load": _stored(EVENTS),
         "backfill_rows": " UNION ALL ".join(
             f"SELECT 'raw.{t}' AS \"table\", COUNT(*) AS n_rows FROM raw_{t}" for t in RAW),
@@ -667,6 +706,14 @@ def oracle_sql() -> dict[str, str]:
                         "completed_streams, skipped_streams, completion_rate_pct, skip_rate_pct, "
                         "COLUMNS('streams_(ios|android|web|chromecast|alexa)') "
                         "FROM daily_listening_stats",
+        "stream_pages_complete": _stored(EVENTS),
+        "stream_distinct": """
+            SELECT d.event_date, d.users, COUNT(DISTINCT e.user_id) AS users_7_days
+            FROM (SELECT event_date, COUNT(DISTINCT user_id) AS users FROM stg_stream_events
+                  WHERE user_id IS NOT NULL GROUP BY event_date) d
+            JOIN stg_stream_events e
+              ON e.event_date BETWEEN d.event_date - 6 AND d.event_date
+            GROUP BY d.event_date, d.users""",
     }
     llm = llm_queries.ORACLE_SQL if llm_queries else {}
     if corpus_pipeline and corpus_pipeline.ORACLE_SQL:

@@ -18,7 +18,7 @@ from tunelake.schemas import DIMENSIONS, EVENTS, RAW
 from tunelake.session import scratch_path
 from tunelake.sinks.catalog import publish
 from tunelake.sinks.store import Store, in_days
-from tunelake.sources.landing import read_pages
+from tunelake.sources.landing import extra_fields, read_pages
 from tunelake.sources.tables import day_range, events_between
 
 MARTS = {
@@ -36,11 +36,13 @@ def daily_load(
     today: date | None = None,
     dry_run: bool = False,
     day_in_key: bool = False,
+    keep_extra: bool = False,
 ) -> tuple[date, date]:
     """Load landed pages: dimensions are replaced, and events from ``start`` to yesterday (by
     default yesterday only) are merged on their key. Only the pages of these days are opened, and
     nothing is written unless all pages are complete. With ``day_in_key`` (see the merge) the load
-    costs no more than its days. A dry run only works out the days."""
+    costs no more than its days. With ``keep_extra``, fields that the schema lacks are kept beside
+    the raw tables; that reads the pages once more. A dry run only works out the days."""
     first, last = day_range(start, None, today)
     if dry_run:
         return first, last
@@ -51,6 +53,11 @@ def daily_load(
     for table, df in found.items():
         store.replace("raw", table, df)
     store.merge_events(events_between(events, first, last), day_in_key=day_in_key)
+    if keep_extra:
+        for table in RAW:
+            of_days = days if table == EVENTS else None
+            store.keep_extra(
+                table, extra_fields(store.spark, f"{landing}/{table}", table, of_days))
     return first, last
 
 

@@ -68,6 +68,19 @@ class Store:
             raise
         return True
 
+    def keep_extra(self, table: str, extra: DataFrame) -> None:
+        """Keep landed fields that the raw table's schema lacks (``date``, ``key``, ``field``,
+        ``value``) beside it: those of a dimension replace earlier ones, those of events the earlier
+        ones of the same landed days."""
+        writer = extra.write.mode("overwrite")
+        if table == EVENTS:
+            writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("date")
+        writer.parquet(self.path("raw", f"{table}_extra"))
+
+    def read_extra(self, table: str) -> DataFrame:
+        return self.spark.read.schema("date string, key string, field string, value variant").parquet(
+            self.path("raw", f"{table}_extra"))
+
     def create_raw_tables(self, tables: Iterable[str] = tuple(RAW)) -> None:
         """Create those raw tables that do not exist yet, empty."""
         for table in tables:

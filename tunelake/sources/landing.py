@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunelake.schemas import EVENTS, RAW, envelope
+from tunelake.schemas import EVENTS, LINEAGE, PRIMARY_KEY, RAW, envelope
 from tunelake.session import scratch_path
 
 
@@ -39,12 +39,18 @@ def landed_pages(
     return reader.option("basePath", path).json(folders)
 
 
-def incomplete(pages: DataFrame, table: str) -> DataFrame:
+def page_facts(pages: DataFrame) -> DataFrame:
+    """What a page says of itself, without its records; -1 records if it has no ``data``."""
+    return pages.selectExpr(
+        "date", "page", "coalesce(size(data), -1) as records", "total", "has_more")
+
+
+def incomplete(facts: DataFrame, table: str) -> DataFrame:
     """What is missing or wrong, one row per table or, for events, per day: a page without ``data``,
     a gap between pages, a last page that says there are more, or a number of records that isn't
     the announced ``total``. A page of a dimension must not occur twice; one of events may."""
-    each = pages.groupBy("date", "page").agg(
-        F.expr("max(coalesce(size(data), -1)) as n"), F.expr("min(coalesce(size(data), -1)) as low"),
+    each = facts.groupBy("date", "page").agg(
+        F.expr("max(records) as n"), F.expr("min(records) as low"),
         F.expr("count(*) as copies"), F.expr("max(total) as total"),
         F.expr("min(total) as least"), F.expr("bool_or(coalesce(has_more, true)) as more"),
     )
@@ -77,7 +83,7 @@ def read_pages(
     copy = scratch_path(spark, "pages")
     pages.write.parquet(copy)
     pages = spark.read.schema(pages.schema).parquet(copy)
-    wrong = incomplete(pages, table).limit(5).collect()
+    wrong = incomplete(page_facts(pages), table).limit(5).collect()
     if days is not None:
         # No more than the days asked for.
         found = {str(r[0]) for r in pages.select("date").distinct().collect()}
@@ -89,9 +95,42 @@ def read_pages(
     return typed(pages.selectExpr("inline(data)"), table)
 
 
+def extra_fields(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    days: Iterable[date] | None = None,
+    multiline: bool = False,
+) -> DataFrame:
+    """Fields of landed records that the table's schema lacks: ``date`` (the folder, NULL without
+    one), ``key`` (the record's primary key), ``field`` and ``value``, a variant. The text is read
+    without a schema, so nothing of a record is lost."""
+    reader = spark.read.option("wholetext", multiline)
+    if days is None:
+        text = reader.text(path)
+    else:
+        folders = [f"{path}/date={day.isoformat()}" for day in days]
+        text = reader.option("basePath", path).text(folders)
+    day = "cast(date as string)" if "date" in text.columns else "cast(null as string)"
+    known = ", ".join(f"'{f.name}'" for f in RAW[table].fields if f.name not in LINEAGE)
+    return text.where("trim(value) <> ''").selectExpr(
+        f"{day} as date",
+        "explode(variant_get(parse_json(value), '$.data', 'array<map<string, variant>>')) as record",
+    ).selectExpr(
+        "date", f"cast(record['{PRIMARY_KEY[table]}'] as string) as key",
+        f"explode(map_filter(record, (k, v) -> k not in ({known}))) as (field, value)",
+    )
+
+
+def field_types(extra: DataFrame) -> DataFrame:
+    """field, type, records: the type that fits all values of a field, and how many records have it."""
+    return extra.groupBy("field").agg(
+        F.expr("schema_of_variant_agg(value) as type"), F.expr("count(*) as records"))
+
+
 def stream_pages(spark: SparkSession, path: str, table: str, files_per_batch: int | None = None) -> DataFrame:
     """The records of the pages that arrive below ``path``, as a stream. A page without ``data``
-    stops it; whether pages are missing can't be told of a stream."""
+    stops it; whether pages are missing is not looked at (see ``merge_complete_days`` for that)."""
     reader = spark.readStream.schema(envelope(table)).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
