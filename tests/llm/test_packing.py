@@ -1,9 +1,12 @@
+import re
+from collections import Counter
+
 import edge_data
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunelake.llm import packing
+from tunelake.llm import packing, queries
 
 
 def check(found, sizes, lengths):
@@ -49,17 +52,85 @@ def test_empty_table(docs):
     assert packing.packed(edge_data.empty(docs)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=80))
-def test_best_fit_by_hand(sizes):
-    sizes = np.array(sorted(sizes, reverse=True), np.int64)
+def plain(sizes, lengths, overhead):
+    """Best-fit decreasing step by step: every bin is looked at for every piece, and every length for
+    every bin that is opened. The sums of what is to come are 64 pieces old at most."""
+    rooms, used, places, sums_of = [], [], [], None
+    for n, size in enumerate(sizes):
+        fits = [(room, b) for b, room in enumerate(rooms) if room > 0 and room >= size]
+        if fits:
+            b = min(fits)[1]
+        else:
+            if sums_of is None or n - sums_of >= 64:
+                sums_of = n
+            later, costs = sizes[sums_of + 1:], []
+            for length in lengths:
+                if length >= size:
+                    room = length - size
+                    filled = size + min(room, sum(x for x in later if x <= room))
+                    costs.append(((length + overhead) / max(1, filled), length))
+            rooms.append(min(costs)[1])
+            used.append(0)
+            b = len(rooms) - 1
+        places.append((b, used[b]))
+        used[b] += size
+        rooms[b] -= size
+    return places, [min(x for x in lengths if x >= u) for u in used]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=150), st.integers(0, 9))
+def test_best_fit_against_a_plain_version(sizes, overhead):
+    sizes = sorted(sizes, reverse=True)
     lengths = (10, 25, 50)
-    bins, offsets, final = packing.pack(sizes, lengths, 3)
-    used = np.bincount(bins, weights=sizes, minlength=len(final)) if len(sizes) else np.array([])
-    for b, total in enumerate(used):
-        assert total <= final[b] == min(x for x in lengths if x >= total)
-    # Best fit: at its time, no other open bin had room that was tighter.
-    assert len(bins) == len(sizes) == len(offsets)
+    bins, offsets, final = packing.pack(np.array(sizes, np.int64), lengths, overhead)
+    assert (list(zip(bins, offsets)), final) == plain(sizes, lengths, overhead)
+
+
+def repacked(found, lengths, overhead):
+    """Every part packed again by the plain version, from its pieces alone."""
+    parts, out = {}, []
+    for r in found:
+        parts.setdefault(r.bin_id.split("-")[0], []).append(r)
+    for part, rows in parts.items():
+        rows.sort(key=lambda r: (-r.n_tokens, r.doc_id is not None, r.doc_id, r.piece))
+        places, final = plain([r.n_tokens for r in rows], lengths, overhead)
+        filled = Counter()
+        for r, (b, _) in zip(rows, places):
+            filled[b] += r.n_tokens
+        out += [(r.doc_id, r.piece, r.start, r.n_tokens, f"{part}-{b}", at, final[b], filled[b])
+                for r, (b, at) in zip(rows, places)]
+    return out
+
+
+def test_query_against_a_plain_version(spark):
+    found = queries.op4_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    rows = [(r.doc_id, r.piece, r.start, r.n_tokens, r.bin_id, r.bin_offset, r.bin_length,
+             r.bin_used) for r in found]
+    assert Counter(rows) == Counter(repacked(found, packing.LENGTHS, packing.OVERHEAD))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    wanted = Counter()
+    for r in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        for i in range(max(1, -(-n // 4096))):
+            wanted[r.doc_id, i, i * 4096, min(4096, n - i * 4096)] += 1
+    assert Counter(r[:4] for r in rows) == wanted
+
+
+def test_rows_alike_are_spread_and_reruns_agree(spark, tmp_path):
+    """A third of the rows are the same; they don't meet in one part, and the split of the scan
+    changes nothing."""
+    rows = [(None, "x y")] * 400 + [(f"id {i}", "a " * (i % 90)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    results = []
+    for n, order in ((1, "doc_id"), (7, "text")):
+        path = str(tmp_path / f"t{n}")
+        df.repartition(n).sortWithinPartitions(order).write.parquet(path)
+        found = packing.packed(spark.read.parquet(path), lengths=(32, 64), part_rows=100).collect()
+        results.append(Counter(map(tuple, found)))
+    assert results[0] == results[1] and sum(results[0].values()) >= 1200
+    alike = Counter(r.bin_id.split("-")[0] for r in found if r.doc_id is None)
+    assert sum(alike.values()) == 400 and len(alike) >= 6
 
 
 def test_packs_tightly():

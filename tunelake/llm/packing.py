@@ -17,8 +17,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunelake.llm.common import stored, word_count
 
@@ -68,26 +69,40 @@ def pack(sizes: np.ndarray, lengths: Sequence[int], overhead: int) -> tuple[list
     return bins, offsets, final
 
 
-def pieces(docs: DataFrame, size: str, longest: int, row_id: str = "doc_id") -> DataFrame:
-    """(doc_id, piece, start, n_tokens): documents cut to at most ``longest`` tokens; an empty
-    document is one piece of no tokens."""
-    return docs.select(
-        F.col(row_id).alias("doc_id"), F.col(size).alias("__size"),
-        F.monotonically_increasing_id().alias("__row"),
-    ).select(
-        "doc_id", "__size", "__row",
-        F.explode(F.sequence(F.lit(0).cast("bigint"),
-                             F.floor(F.greatest(F.col("__size") - 1, F.lit(0)) / longest)))
-        .alias("piece"),
-    ).select(
-        "doc_id", "__row", "piece",
+def documents(docs: DataFrame, size: Column, row_id: str = "doc_id") -> DataFrame:
+    """(doc_id, size, copies): rows that agree in id and size give the same pieces, so they are
+    counted."""
+    rows = docs.select(F.col(row_id).alias("doc_id"), size.alias("size"))
+    return rows.groupBy("doc_id", "size").agg(F.count("*").alias("copies"))
+
+
+def pieces(docs: DataFrame, longest: int) -> DataFrame:
+    """``documents`` cut to at most ``longest`` tokens: doc_id, size, copies, piece, start, n_tokens.
+    An empty document is one piece of no tokens."""
+    return docs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), _last_piece(longest)))
+                       .alias("piece")).select(
+        "doc_id", "size", "copies", "piece",
         (F.col("piece") * longest).alias("start"),
-        F.least(F.col("__size") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"),
+        F.least(F.col("size") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"),
     )
 
 
-SCHEMA = ("doc_id long, piece long, start long, n_tokens long, bin_id string, bin_offset long, "
-          "bin_length long, bin_used long")
+def _last_piece(longest: int) -> Column:
+    return F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / longest)
+
+
+def dealt(cut: DataFrame, parts: int, together: int) -> DataFrame:
+    """``pieces`` dealt to parts by what they are, at most ``together`` copies of one at a time: doc_id,
+    piece, start, n_tokens, ``__part`` and ``__n``, the number of copies dealt there at once."""
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                 F.floor((F.col("copies") - 1) / together)))
+    rows = cut.select("*", chunk.alias("__chunk"))
+    number = F.xxhash64("doc_id", "size", "piece", "__chunk")
+    return rows.select(
+        "doc_id", "piece", "start", "n_tokens",
+        F.pmod(number, F.lit(parts)).cast("int").alias("__part"),
+        F.least(F.col("copies") - F.col("__chunk") * together, F.lit(together)).alias("__n"),
+    )
 
 
 def packed(
@@ -104,18 +119,19 @@ def packed(
 
     ``size`` names a column of token counts; without it, tokens are the words of ``text``. Null and
     empty texts are pieces of no tokens and occupy a bin without using it up. Ties in size go by
-    doc_id and piece. A part has about ``part_rows`` pieces (fewer while the table is small). Repeated rows are packed
-    once each. An empty table gives an empty result; other columns are not looked at.
+    doc_id and piece. A part has about ``part_rows`` pieces. Repeated rows are packed once each. What
+    goes where depends on ids and sizes alone, not on the split of the scan. Ids may be of any type
+    that can be grouped by and are returned as they are. An empty table gives an empty result; other
+    columns are not looked at.
     """
-    counted = docs.withColumn("__tokens", F.coalesce(F.col(size).cast("bigint"), F.lit(0))
-                              if size else word_count(text))
+    tokens = F.coalesce(F.col(size).cast("bigint"), F.lit(0)) if size else word_count(text)
+    longest = max(lengths)
     # Counting tokens reads all text; what it gives is narrow and used twice.
-    cut = stored(pieces(counted, "__tokens", max(lengths), row_id), "pieces")
-    total = cut.count()
-    parts = max(1, -(-total // part_rows), min(64, total // (part_rows // 10)))
-    dealt = cut.withColumn(
-        "__part", F.pmod(F.xxhash64("doc_id", "piece", "__row"), F.lit(parts)).cast("int")
-    )
+    counted = stored(documents(docs, tokens, row_id), "sizes")
+    total = counted.agg(F.sum(F.col("copies") * (_last_piece(longest) + 1))).first()[0] or 0
+    parts = max(1, -(-total // part_rows))
+    rows = dealt(pieces(counted, longest), parts, max(1, part_rows // 10))
+    id_type = counted.schema["doc_id"].dataType
     columns = ["doc_id", "piece", "start", "n_tokens"]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +168,13 @@ def packed(
         out = out.append_column("bin_used", pa.array(used[bins], pa.int64()))
         yield from out.combine_chunks().to_batches()
 
+    schema = T.StructType([T.StructField("doc_id", id_type), *T.StructType.fromDDL(
+        "piece long, start long, n_tokens long, bin_id string, bin_offset long, bin_length long, "
+        "bin_used long")])
     return (
-        dealt.repartition("__part")
-        .sortWithinPartitions("__part", F.desc("n_tokens"), "doc_id", "piece", "__row")
-        .select(F.col("doc_id").cast("long"), F.col("piece").cast("long"),
-                F.col("start").cast("long"), F.col("n_tokens").cast("long"), "__part")
-        .mapInArrow(solve, SCHEMA)
+        rows.repartition("__part")
+        .select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))).alias("__copy"))
+        .sortWithinPartitions("__part", F.desc("n_tokens"), "doc_id", "piece")
+        .select("doc_id", "piece", "start", F.col("n_tokens").cast("long"), "__part")
+        .mapInArrow(solve, schema)
     )
