@@ -285,6 +285,20 @@ def merge_events(spark: SparkSession, sf: str) -> DataFrame:
     return _table(store, EVENTS)
 
 
+def merge_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """With the keys indexed, the middle third of the days moves by 100 days and gets other values; then
+    everything is loaded once more where its key is missing, which it is nowhere."""
+    store, events = _store(spark, "indexed", EVENTS), _raw_table(spark, sf, EVENTS)
+    store.replace("raw", EVENTS, events)
+    store.index_keys()
+    (first, last), later = _span(spark, sf), "cast(started_at + interval 100 days as timestamp_ntz)"
+    low, high = (first + timedelta(days=n * (last - first).days // 3) for n in (1, 2))
+    moved = _longer(events_between(events, low, high)).withColumn("started_at", F.expr(later))
+    store.merge_events(moved)
+    store.insert_or_ignore(EVENTS, events)
+    return _table(store, EVENTS)
+
+
 def _land(spark: SparkSession, sf: str, *tables: str) -> str:
     """Land the raw tables, or those named, as JSON pages of at most 500 records; events by day."""
     path = scratch_path(spark, "landing")
@@ -550,6 +564,7 @@ def queries() -> dict[str, Query]:
         "upsert_replace": upsert_replace,
         "upsert_ignore": upsert_ignore,
         "merge_events": merge_events,
+        "merge_indexed": merge_indexed,
         "landing_scan": landing_scan,
         "unknown_fields": unknown_fields,
         "daily_load": daily_load,
@@ -660,6 +675,9 @@ def oracle_sql() -> dict[str, str]:
             WHERE c_acctbal > 9000)"""),
         "upsert_ignore": _stored(EVENTS, second_load.format("> high")),
         "merge_events": _stored(EVENTS, second_load.format(">= low")),
+        "merge_indexed": _stored(EVENTS, second_load.format("BETWEEN low AND high").replace(
+            "AS ms_played", f"AS ms_played, CASE WHEN {day} BETWEEN low AND high "
+            "THEN started_at + INTERVAL 100 DAY ELSE started_at END AS started_at")),
         "landing_scan": _stored("tracks"),
         "unknown_fields": "SELECT 'code' AS field, 'STRING' AS type, COUNT(*) AS records "
                           "FROM raw_tracks UNION ALL SELECT 'peak', 'BIGINT', COUNT(*) "

@@ -32,6 +32,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     fill.add_argument("--end-date", help="last day; yesterday by default")
     fill.add_argument("--skip-reference", action="store_true", help="leave the dimensions alone")
     fill.add_argument("--day-in-key", **stays)
+    job.add_parser("index", parents=[common], help="index the events by key, for merges")
     job.add_parser("build", parents=[common], help="rebuild the marts")
     job.add_parser("test", parents=[common], help="run the data tests")
     job.add_parser("check", parents=[common], help="run the pattern checks")
@@ -60,6 +61,8 @@ def main(argv: list[str] | None = None) -> int:
         history = {t: read_raw(spark, f"{args.history}/{t}", t) for t in RAW}
         jobs.backfill(store, history, args.start_date, args.end_date, args.skip_reference,
                       day_in_key=args.day_in_key)
+    elif args.job == "index":
+        store.index_keys()
     elif args.job == "build":
         jobs.build(store)
     elif args.job == "test":

@@ -15,6 +15,7 @@ from tunelake.operators.upserts import (
 )
 from tunelake.schemas import EVENTS, PRIMARY_KEY, RAW
 from tunelake.session import checkpoint_root, scratch_path
+from tunelake.sinks.key_index import KeyIndex
 
 DAY = "event_date"
 
@@ -92,7 +93,23 @@ class Store:
         """The table becomes the frame; of events, stored days that the frame lacks go."""
         if layer == "raw":
             refuse_null_keys(df, PRIMARY_KEY[table])
+        indexed = layer == "raw" and table == EVENTS and self.keys.ready()
+        if indexed:
+            self.keys.distrust()
         self._write(layer, table, df, "overwrite")
+        if indexed:
+            self.index_keys()
+
+    @property
+    def keys(self) -> KeyIndex:
+        """The days of the events' keys, once ``index_keys`` has built it."""
+        path = self.path("raw", f"{EVENTS}_keys")
+        return KeyIndex(self.spark, path, f"{path}_complete", PRIMARY_KEY[EVENTS], DAY)
+
+    def index_keys(self) -> None:
+        """Index the stored events by key, or do so anew. From then on, merges look up which days hold
+        older copies, and every load keeps the index up to date."""
+        self.keys.build(self.read("raw", EVENTS).select(PRIMARY_KEY[EVENTS], DAY))
 
     def insert_or_replace(self, table: str, batch: DataFrame, latest_by: str | None = None) -> None:
         """Rows of the batch replace stored rows with the same key; others are added."""
@@ -109,8 +126,9 @@ class Store:
     ) -> None:
         """Upsert events by key; running it again changes nothing. Only the days concerned are
         rewritten: those of the batch, and those that hold older copies of its keys. With
-        ``day_in_key`` a key never changes its day, and the search for older copies elsewhere,
-        a scan of the stored keys, is left out. The batch itself is evaluated once.
+        ``day_in_key`` a key never changes its day, and the search for older copies elsewhere is
+        left out. Otherwise it is a scan of the other days' stored keys, or, with ``index_keys``, of
+        the index and the few days that it names. The batch itself is evaluated once.
 
         A run that is cut off may leave some days rewritten and others not, or a moved event in two
         days: the days are replaced one by one. Running the merge again mends that, as it finds
@@ -126,8 +144,10 @@ class Store:
         refuse_null_keys(batch, key)
         days, moved = _days(batch), set()
         if days and not day_in_key:
-            stored = self.read("raw", EVENTS).select(key, DAY)
-            moved = _days(stored_matches(stored, batch.select(key).distinct(), key)) - days
+            stored, elsewhere = self.read("raw", EVENTS).select(key, DAY), not_in_days(days)
+            if self.keys.ready():
+                elsewhere = in_days(self.keys.days_of(batch, elsewhere))
+            moved = _days(stored_matches(stored.where(elsewhere), batch, key))
         return Merge(batch, days, moved, latest_by)
 
     def apply_merge(self, merge: Merge) -> None:
@@ -138,6 +158,8 @@ class Store:
         keys = merge.batch.select(key).distinct()
         new = one_per_key(merge.batch, key, merge.latest_by).select(*stored.columns)
         kept = stored.where(in_days(merge.touched)).join(keys, key, "left_anti")
+        if self.keys.ready():
+            self.keys.add(merge.batch, in_days(merge.days))
         self._write("raw", EVENTS, kept.select(*stored.columns).unionByName(new), "overwrite",
                     whole=False)
         self._drop_stale_days(moved, keys)
@@ -151,11 +173,20 @@ class Store:
         batch = self._materialised(_with_day(batch) if table == EVENTS else batch)
         refuse_null_keys(batch, key)
         if table == EVENTS:
+            indexed = self.keys.ready()
+            days = _days(batch) if day_in_key or indexed else set()
             if day_in_key:
-                stored = stored.where(in_days(_days(batch)))
+                stored = stored.where(in_days(days))
+            elif indexed:
+                stored = stored.where(in_days(self.keys.days_of(batch, F.lit(True))))
+            if indexed:
+                self.keys.add(batch, in_days(days))
         self._write("raw", table, new_rows(stored, batch, key, first_by), "append")
 
     def append(self, layer: str, table: str, df: DataFrame) -> None:
+        """Add rows as they are; the index of the events' keys, if any, has to be built anew."""
+        if layer == "raw" and table == EVENTS:
+            self.keys.distrust()
         self._write(layer, table, df, "append")
 
     def drop(self, layer: str, table: str) -> None:
@@ -166,7 +197,7 @@ class Store:
     def replace_days(self, table: str, days: set, fresh: DataFrame) -> None:
         """The mart's rows of ``days`` become ``fresh``. A mart of days is a few hundred rows a day; it
         is read and rewritten, with the result in the shared folder in between."""
-        kept = self.read("marts", table).where(~F.coalesce(in_days(days), F.lit(False)))
+        kept = self.read("marts", table).where(not_in_days(days))
         checkpoint_root(self.spark)
         self.replace("marts", table, kept.unionByName(fresh).checkpoint())
 
@@ -223,3 +254,8 @@ def in_days(days: set) -> Column:
     """A condition on the partition column, which prunes to these days."""
     listed = F.col(DAY).isin([d for d in days if d is not None])
     return listed | F.col(DAY).isNull() if None in days else listed
+
+
+def not_in_days(days: set) -> Column:
+    """The opposite, also true of rows without a day if these are not among ``days``."""
+    return ~F.coalesce(in_days(days), F.lit(False))
