@@ -357,6 +357,11 @@ def built_daily_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(store.read("marts", "daily_listening_stats"), "avg_pct_played")
 
 
+def build_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the writes of the marts found of their own tests."""
+    return jobs.build(_history(spark, sf, "verdicts"))
+
+
 def _refreshed(mart: str) -> Query:
     """Load the first two thirds of the days, the middle third with other values and days of its own
     devices; build; then merge the last two thirds as they are, refreshing the marts. What the
@@ -570,6 +575,7 @@ def queries() -> dict[str, Query]:
         "daily_load": daily_load,
         "backfill_rows": backfill_rows,
         "built_daily_stats": built_daily_stats,
+        "build_verdicts": build_verdicts,
         "incremental_marts": _refreshed("user_activity"),
         "incremental_days": _refreshed("daily_listening_stats"),
         "global_rank": global_rank,
@@ -686,6 +692,10 @@ def oracle_sql() -> dict[str, str]:
         "backfill_rows": " UNION ALL ".join(
             f"SELECT 'raw.{t}' AS \"table\", COUNT(*) AS n_rows FROM raw_{t}" for t in RAW),
         "built_daily_stats": rows("daily_listening_stats"),
+        "build_verdicts": " UNION ALL ".join(
+            f"SELECT * FROM ({sql}) WHERE model IN ({', '.join(map(repr, jobs.MARTS))})"
+            for sql in (oracle.not_null(), oracle.accepted_values(),
+                        oracle.ranges(("daily_listening_stats", "top_tracks_daily")))),
         "incremental_marts": "SELECT * REPLACE (CAST(user_id AS VARCHAR) AS user_id) "
                              "FROM user_activity",
         "incremental_days": rows("daily_listening_stats"),

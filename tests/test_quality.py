@@ -98,3 +98,45 @@ def test_range_and_share_outcomes(spark, models):
 
 def test_accepted_is_a_value():
     assert Accepted(("a",)) == Accepted(("a",))
+
+
+def test_watched_frames_count_as_they_are_written(spark, tmp_path):
+    conditions = q.value_conditions(["a"], {"b": ["x"]}) + [("a", "low", q.out_of_range("a", 1, 4))]
+    rows = [(1, None), (None, "x"), (3, "y"), (9, "x")]
+    for n, (part, wanted) in enumerate([
+        (rows, [("a", "not_null"), ("b", "accepted_values"), ("a", "low")]),
+        (rows[:1], []), (rows[3:], [("a", "low")]), ([], []),
+    ]):
+        watched = q.Watched(spark.createDataFrame(part, "a int, b string"), conditions)
+        watched.df.write.parquet(str(tmp_path / str(n)))
+        assert watched.failing() == wanted
+    never = q.Watched(spark.range(1).where("false").selectExpr("id as a", "'x' as b"), conditions)
+    never.df.write.parquet(str(tmp_path / "never"))
+    assert never.failing() == []
+
+
+def test_watched_tests_equal_the_tests(spark, models, tmp_path):
+    marts = {name: models[name] for name in jobs.MARTS}
+    marts["user_activity"] = marts["user_activity"].replace("premium", "gold", "subscription_type")
+    marts["top_tracks_daily"] = marts["top_tracks_daily"].withColumn(
+        "daily_rank", models["top_tracks_daily"].daily_rank - 1)
+    written, stored = {}, {}
+    for name, df in marts.items():
+        written[name] = quality_suite.watched(name, df)
+        written[name].df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    found = quality_suite.watched_tests(written, stored)
+    wanted = quality_suite.value_tests(stored).unionByName(quality_suite.range_tests(stored))
+    assert sorted(found.collect()) == sorted(wanted.select(*found.columns).collect())
+    assert {(r.model, r.column) for r in found.collect() if not r.passed} >= {
+        ("user_activity", "subscription_type"), ("top_tracks_daily", "daily_rank")}
+
+
+def test_watched_tests_read_nothing_if_all_is_well(spark, models, tmp_path):
+    watched = quality_suite.watched("daily_listening_stats", models["daily_listening_stats"])
+    watched.df.write.parquet(str(tmp_path / "daily"))
+    gone = spark.read.schema(models["daily_listening_stats"].schema).parquet(str(tmp_path / "daily"))
+    found = quality_suite.watched_tests(
+        {"daily_listening_stats": watched}, {"daily_listening_stats": gone})
+    assert "Scan parquet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 7 and found.where("not passed").count() == 0

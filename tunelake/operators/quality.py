@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tunelake.operators.lookups import orphans
@@ -27,7 +27,40 @@ def orphan_failures(child: DataFrame, column: str, parent: DataFrame, field: str
 
 def range_failures(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows outside [low, high]; NULLs are ignored."""
-    return df.where(f"{column} < {low} or {column} > {high}")
+    return df.where(out_of_range(column, low, high))
+
+
+def out_of_range(column: str, low: float, high: float) -> str:
+    return f"{column} < {low} or {column} > {high}"
+
+
+def value_conditions(not_null: list[str], accepted: dict[str, list[str]]) -> list[tuple]:
+    """(column, test, condition of a failing row) of checks of single values."""
+    return [(c, "not_null", f"{c} is null") for c in not_null] + [
+        (c, "accepted_values", f"{c} not in ({', '.join(map(repr, values))})")
+        for c, values in accepted.items()
+    ]
+
+
+class Watched:
+    """A frame that counts its failing rows while it is written, so that the tests need no scan of
+    their own. ``conditions`` are (column, test, condition of a failing row).
+
+    Spark may count the rows of a task again that it has to repeat. Where nothing fails the count
+    is nought all the same; a count above that is only a sign to look (see ``failing``)."""
+
+    def __init__(self, df: DataFrame, conditions: list[tuple]):
+        self.conditions = conditions
+        self._seen = Observation()
+        counts = [F.count_if(F.expr(failed)).alias(f"n{i}")
+                  for i, (_, _, failed) in enumerate(conditions)]
+        self.df = df.observe(self._seen, *counts) if conditions else df
+
+    def failing(self) -> list[tuple]:
+        """(column, test) of the conditions that a row met. To be asked once the frame is written."""
+        counts = self._seen.get if self.conditions else {}
+        # A frame known to be empty is not executed, and nothing is counted.
+        return [(c, test) for i, (c, test, _) in enumerate(self.conditions) if counts.get(f"n{i}")]
 
 
 def group_sum_failures(
@@ -51,11 +84,8 @@ def column_checks(
     """One row (column, test, n_failed) per check, from a single pass over the frame: the number of
     NULLs, and the number of different values outside a list (NULLs are ignored there). Only what
     fails leaves a task, counted per value."""
-    checks = [(c, "not_null", f"{c} is null", "null") for c in not_null]
-    checks += [
-        (c, "accepted_values", f"{c} not in ({', '.join(map(repr, values))})", c)
-        for c, values in accepted.items()
-    ]
+    checks = [(c, test, failed, c if test == "accepted_values" else "null")
+              for c, test, failed in value_conditions(not_null, accepted)]
     # An explode per row only of what fails; a check is known by its number.
     rows = ", ".join(
         f"if({failed}, struct({i} as check, cast({value} as string) as value), null)"

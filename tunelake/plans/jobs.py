@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tunelake.plans import marts
 from tunelake.plans.enrich import enriched_events
 from tunelake.plans.patterns import pattern_summary
-from tunelake.plans.quality_suite import all_tests
+from tunelake.plans.quality_suite import all_tests, watched, watched_tests
 from tunelake.plans.staging import stage
 from tunelake.schemas import DIMENSIONS, EVENTS, RAW
 from tunelake.session import scratch_path
@@ -100,18 +100,19 @@ def enriched(staged: dict[str, DataFrame]) -> DataFrame:
                            staged["stg_artists"], staged["stg_users"])
 
 
-def build(store: Store, parallel: int = 4) -> None:
+def build(store: Store, parallel: int = 4) -> DataFrame:
     """Rebuild the mart tables from the raw tables, and enter all models in the session catalog:
     staged models and enriched events as views, the rest as tables. The marts are submitted side
-    by side, so that one's last tasks do not leave the cluster idle."""
+    by side, so that one's last tasks do not leave the cluster idle. Returns the marts' tests of nulls,
+    values and ranges, which the writes themselves made."""
+    models = {name: watched(name, df) for name, df in build_marts(staged_models(store)).items()}
     with ThreadPoolExecutor(parallel) as pool:
-        writes = [
-            pool.submit(store.replace, "marts", name, df)
-            for name, df in build_marts(staged_models(store)).items()
-        ]
+        writes = [pool.submit(store.replace, "marts", name, model.df)
+                  for name, model in models.items()]
         for write in writes:
             write.result()
     publish(store, list(MARTS))
+    return watched_tests(models, {name: store.read("marts", name) for name in models})
 
 
 #: Sums behind ``user_activity``, kept from load to load: what each refresh adds and takes away.

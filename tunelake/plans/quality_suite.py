@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tunelake.operators import quality as q
 from tunelake.schemas import AGE_GROUPS, DEVICE_TYPES, PLATFORMS, SUBSCRIPTION_TYPES
@@ -92,13 +93,22 @@ RANGE_TESTS = [
 SHARE_TEST = ("genre_trends", "event_date", "pct_of_daily_streams", 99, 101, "shares_sum_to_100")
 
 
+def _value_tests_of(
+    model: str, nulls: bool = True, values: bool = True
+) -> tuple[list[str], dict[str, list[str]]]:
+    """The columns that must not be null, and those with a list of values."""
+    columns = COLUMN_TESTS[model]
+    not_null = [c for c, tests in columns.items() if nulls and NOT_NULL in tests]
+    accepted = {c: list(t.values) for c, tests in columns.items() for t in tests
+                if values and isinstance(t, Accepted)}
+    return not_null, accepted
+
+
 def _value_checks(models: dict[str, DataFrame], nulls: bool, values: bool) -> DataFrame:
     """The checks that look at single values: one pass over each model that has any."""
     found = {}
-    for model, columns in COLUMN_TESTS.items():
-        not_null = [c for c, tests in columns.items() if nulls and NOT_NULL in tests]
-        accepted = {c: list(t.values) for c, tests in columns.items() for t in tests
-                    if values and isinstance(t, Accepted)}
+    for model in COLUMN_TESTS:
+        not_null, accepted = _value_tests_of(model, nulls, values)
         if model in models and (not_null or accepted):
             found[model] = [q.column_checks(models[model], not_null, accepted)]
     return q.suite(found)
@@ -164,6 +174,33 @@ def share_tests(models: dict[str, DataFrame]) -> DataFrame:
     return q.suite({model: [q.outcome(failures, column, name)]})
 
 
+def watched(model: str, df: DataFrame) -> q.Watched:
+    """A model that is tested, value by value, in the pass that writes it."""
+    ranges = [(column, name, q.out_of_range(column, low, high))
+              for of, column, low, high, name in RANGE_TESTS if of == model]
+    return q.Watched(df, q.value_conditions(*_value_tests_of(model)) + ranges)
+
+
+def watched_tests(written: dict[str, q.Watched], stored: dict[str, DataFrame]) -> DataFrame:
+    """The tests of single values of models that were ``watched`` as they were written. Without
+    failures nothing is read; a model with some is read again for their exact numbers."""
+    spark = next(iter(stored.values())).sparkSession
+    bad = {model: set(w.failing()) for model, w in written.items()}
+    good = [(model, column, test, 0, True) for model, w in written.items()
+            for column, test, _ in w.conditions if (column, test) not in bad[model]]
+    result = spark.createDataFrame(
+        good, "model string, column string, test string, n_failed bigint, passed boolean")
+    again = {model: stored[model] for model, found in bad.items() if found}
+    for model, df in again.items():
+        ranges = [(c, name) for of, c, _, _, name in RANGE_TESTS if of == model]
+        checks = value_tests({model: df})
+        if ranges:
+            checks = checks.unionByName(range_tests({model: df}))
+        wanted = spark.createDataFrame(sorted(bad[model]), "column string, test string")
+        result = result.unionByName(checks.join(F.broadcast(wanted), ["column", "test"], "left_semi"))
+    return result
+
+
 def all_tests(models: dict[str, DataFrame]) -> DataFrame:
     """Every declared test over the given models, which should be read from storage: a model is
     scanned once for all checks of single values, and once for each other test."""

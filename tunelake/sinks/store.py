@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunelake.operators.quality import Watched, value_conditions
 from tunelake.operators.upserts import (
     new_rows, one_per_key, refuse_null_keys, replace_rows, stored_matches,
 )
@@ -140,8 +141,7 @@ class Store:
     ) -> Merge:
         """A merge worked out, with nothing written to the table yet."""
         key = PRIMARY_KEY[EVENTS]
-        batch = self._materialised(_with_day(batch))
-        refuse_null_keys(batch, key)
+        batch = self._materialised(_with_day(batch), key)
         days, moved = _days(batch), set()
         if days and not day_in_key:
             stored, elsewhere = self.read("raw", EVENTS).select(key, DAY), not_in_days(days)
@@ -170,8 +170,7 @@ class Store:
         """Add the rows of the batch whose key is not stored yet; stored rows win."""
         key = PRIMARY_KEY[table]
         stored = self.read("raw", table)
-        batch = self._materialised(_with_day(batch) if table == EVENTS else batch)
-        refuse_null_keys(batch, key)
+        batch = self._materialised(_with_day(batch) if table == EVENTS else batch, key)
         if table == EVENTS:
             indexed = self.keys.ready()
             days = _days(batch) if day_in_key or indexed else set()
@@ -214,10 +213,14 @@ class Store:
             folder = hadoop.Path(f"{self.path('raw', EVENTS)}/{DAY}={value}")
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-    def _materialised(self, batch: DataFrame) -> DataFrame:
-        """A batch as files in the shared folder, so that it isn't made again for each use."""
+    def _materialised(self, batch: DataFrame, key: str) -> DataFrame:
+        """A batch as files in the shared folder, so that it isn't made again for each use. The same
+        pass sees to it that every row has a key."""
         path = scratch_path(self.spark, "batch")
-        batch.write.parquet(path)
+        watched = Watched(batch, value_conditions([key], {}))
+        watched.df.write.parquet(path)
+        if watched.failing():
+            refuse_null_keys(self.spark.read.schema(batch.schema).parquet(path), key)
         return self.spark.read.schema(batch.schema).parquet(path)
 
     def _write(
