@@ -72,7 +72,8 @@ def enriched_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.enriched(mapping.staged_lines(spark, sf, *MART_TABLES))
+    return jobs.enriched(
+        mapping.staged_lines(spark, sf, *MART_TABLES), mapping.line_keys(spark, sf))
 
 
 def _mart(build: Callable[..., DataFrame], lines: bool = False) -> Query:

@@ -159,3 +159,14 @@ def test_user_activity_reads_events_twice_and_meets_the_catalog_once(spark, thre
                 and "user_id" in x for x in lines)
     # With nothing broadcast, the hot tracks are counted in a pass of their own.
     assert scans == 2
+
+
+def test_track_columns_do_not_travel_with_the_events(spark, models, no_broadcast):
+    fact = enriched_events(*mart_inputs(models))
+    plan = fact._jdf.queryExecution().optimizedPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    # The last join is the track's, and what it joins has none of the track's columns yet.
+    carried = plan.children().apply(0).output()
+    columns = [carried.apply(i).name() for i in range(carried.size())]
+    assert "username" in columns and "track_title" not in columns

@@ -29,6 +29,16 @@ def test_salted_lookup_spreads_a_hot_key(spark, no_broadcast):
     assert hot == {7: -(-share[7] * 10 // total)}
 
 
+def test_hot_keys_count_groups_first(spark, monkeypatch):
+    """Many keys: only those of a full group are counted one by one, and no cold key of it is taken."""
+    monkeypatch.setattr(lookups, "KEY_GROUPS", 50)
+    fact = spark.range(4000).selectExpr("if(id < 1000, -1, id) as k")
+    hot = lookups.hot_keys(fact, "k", share=10)
+    assert [(r["__hot_key"], r["__parts"]) for r in hot.collect()] == [(-1, 3)]
+    plan = hot._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [__group" in plan
+
+
 def test_hot_keys_are_bounded_by_the_share(spark):
     fact = spark.range(1000).selectExpr("id % 50 as k")
     assert lookups.hot_keys(fact, "k", share=49).count() == 0

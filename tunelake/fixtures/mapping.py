@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunelake.functions.measures import completed, skipped
-from tunelake.operators.lookups import lookup
+from tunelake.operators.lookups import hot_keys, lookup
 from tunelake.plans.staging import stage
 from tunelake.schemas import AGE_GROUPS, DEVICE_TYPES
 
@@ -104,9 +104,18 @@ def line_events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """``lineitem`` with its order as the raw event table: quantity is seconds of a 50-second
     track. Line keys repeat in the data, so this fact has no usable primary key."""
     order = orders.selectExpr("o_orderkey as l_orderkey", "o_custkey", "o_orderdate")
+    # What a line alone tells is worked out before the lookup: less to carry than what it is made of.
+    facts = lineitem.selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+        "l_tax > 0.04D as shuffle_mode", "l_discount = 0D as offline_mode",
+        f"{_translate('l_linestatus', STATUS_DEVICE)} as device_type",
+        f"{_translate('l_returnflag', FLAG_PLATFORM)} as platform",
+        "l_suppkey", "l_extendedprice", "l_shipdate",
+    )
     lines = lookup(
-        lineitem, order, "l_orderkey",
+        facts, order, "l_orderkey",
         spread="l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate",
+        keys_of=lineitem,
     )
     return _plays(
         lines.where("l_orderkey is not null"), "l_quantity", LINE_DURATION_MS,
@@ -114,13 +123,29 @@ def line_events(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         user_id="o_custkey",
         track_id="l_partkey",
         started_at="o_orderdate",
-        device_type=_translate("l_linestatus", STATUS_DEVICE),
-        platform=_translate("l_returnflag", FLAG_PLATFORM),
-        shuffle_mode="l_tax > 0.04D",
-        offline_mode="l_discount = 0D",
+        device_type="device_type",
+        platform="platform",
+        shuffle_mode="shuffle_mode",
+        offline_mode="offline_mode",
     )
 
 
+def line_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables that tell which keys of the line events are hot, without joining all lines with their
+    orders. A user's orders stand for the lines, except that an order with very many lines
+    (a hot key itself) counts with each of them."""
+    lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    owners = orders.join(
+        F.broadcast(hot_keys(lineitem, "l_orderkey")), F.expr("o_orderkey = __hot_key"))
+    long_orders = lineitem.join(
+        F.broadcast(owners.select("o_orderkey", "o_custkey")), F.expr("l_orderkey = o_orderkey"))
+    of_orders = orders.selectExpr("o_custkey as user_id")
+    return {
+        "track_id": lineitem.selectExpr("l_partkey as track_id"),
+        "user_id": of_orders.unionByName(long_orders.selectExpr("o_custkey as user_id")),
+    }
+
+
 def users(customer: DataFrame) -> DataFrame:
     return customer.selectExpr(
         "c_custkey as user_id",

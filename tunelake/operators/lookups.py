@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tunelake.session import checkpoint_root
 
 HOT_SHARE = 20_000
+#: Groups of keys that are counted first, to find where a hot key can be.
+KEY_GROUPS = 65_536
 #: What a key takes in a broadcast besides its own bytes, about.
 ROW_BYTES = 32
 
@@ -31,9 +33,16 @@ def fits_broadcast(dim: DataFrame) -> bool:
 
 def hot_keys(fact: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys holding at least 1/``share`` of the fact, and the number of parts to spread each over:
-    at most ``share`` rows. Counting combines within each task, so it shuffles one row per key."""
-    counts = fact.where(f"{key} is not null").groupBy(key).agg(F.expr("count(*) as n"))
-    weight, total = F.expr(f"n * {share}"), counts.agg(F.expr("sum(n)")).scalar()
+    at most ``share`` rows. Groups of keys, by hash, are counted first, which shuffles at most
+    ``KEY_GROUPS`` rows per task, however many keys there are. Only the keys of a group that holds
+    that much itself can be hot: these are counted one by one."""
+    keyed = fact.where(f"{key} is not null").select(
+        key, F.expr(f"pmod(xxhash64({key}), {KEY_GROUPS})").alias("__group"))
+    groups = keyed.groupBy("__group").agg(F.expr("count(*) as n"))
+    weight, total = F.expr(f"n * {share}"), groups.agg(F.expr("sum(n)")).scalar()
+    full = groups.where(weight >= total).select("__group")
+    counts = keyed.join(F.broadcast(full), "__group", "left_semi").groupBy(key).agg(
+        F.expr("count(*) as n"))
     return counts.where(weight >= total).select(
         F.col(key).alias("__hot_key"), F.ceil(weight / total).cast("int").alias("__parts")
     )

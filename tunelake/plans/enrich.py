@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 
+from tunelake.functions import measures as m
 from tunelake.operators.lookups import lookup
 
 
@@ -31,11 +34,24 @@ def catalog(tracks: DataFrame, artists: DataFrame) -> DataFrame:
     return lookup(tracks, artist, "artist_id", spread="track_id")
 
 
+#: What of an event goes through the lookups: columns of many values first, then those of few, which
+#: compress as one. The percentage played follows from others and is worked out at the end.
+CARRIED = [
+    "event_id", "user_id", "track_id", "started_at", "ms_played", "track_duration_ms", "event_date",
+    "is_completed", "is_skipped", "is_shuffle", "is_offline", "device_type", "platform",
+]
+
+
 def enriched_events(
-    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame
+    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame,
+    keys_of: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Staged events with their track, artist and user. Every event is kept; ids of dimension rows
-    that do not exist are NULL."""
+    that do not exist are NULL.
+
+    The user comes first and the track, which has most columns, last, so that these never travel with
+    the events. ``keys_of`` may name for ``track_id`` and ``user_id`` a table in which hot keys are
+    counted, if the events themselves are made by joins."""
     song = catalog(tracks, artists).selectExpr(
         "track_id", "track_title", "genre", "release_year", "is_explicit", "tempo_bpm",
         "energy_score", "duration_ms as track_duration_ms_catalog",
@@ -45,6 +61,10 @@ def enriched_events(
         "user_id", "username", "country as user_country", "subscription_type", "age_group",
         "joined_date",
     )
-    fact = lookup(events, song, "track_id", spread="event_id")
-    fact = lookup(fact, listener, "user_id", spread="event_id", keys_of=events)
+    keys_of = {"user_id": events, "track_id": events, **(keys_of or {})}
+    fact = events.select(*CARRIED)
+    for dim, key in ((listener, "user_id"), (song, "track_id")):
+        fact = lookup(fact, dim, key, spread="event_id", keys_of=keys_of[key])
+    fact = fact.selectExpr(
+        "*", f"{m.percent_played('ms_played', 'track_duration_ms')} as pct_played")
     return fact.select(*(c.rsplit(" as ", 1)[-1] for names in ENRICHED.values() for c in names))

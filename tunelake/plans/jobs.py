@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 from functools import reduce
@@ -95,9 +95,11 @@ def build_marts(
     return {name: MARTS[name](*inputs) for name in names}
 
 
-def enriched(staged: dict[str, DataFrame]) -> DataFrame:
+def enriched(
+    staged: dict[str, DataFrame], keys_of: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     return enriched_events(staged["stg_stream_events"], staged["stg_tracks"],
-                           staged["stg_artists"], staged["stg_users"])
+                           staged["stg_artists"], staged["stg_users"], keys_of)
 
 
 def build(store: Store, parallel: int = 4) -> DataFrame:
