@@ -170,3 +170,14 @@ def test_track_columns_do_not_travel_with_the_events(spark, models, no_broadcast
     carried = plan.children().apply(0).output()
     columns = [carried.apply(i).name() for i in range(carried.size())]
     assert "username" in columns and "track_title" not in columns
+
+
+def test_user_rows_are_dealt_by_user_before_they_are_summed(spark, models, no_broadcast):
+    events, tracks, artists, users = mart_inputs(models)
+    activity = marts.user_activity(events, tracks, artists, users)
+    plan = activity._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [user_id") == 2
+    # Where hot keys are counted changes nothing.
+    other = marts.user_activity(events, tracks, artists, users, keys_of={
+        "user_id": events.limit(1), "track_id": events.limit(2)})
+    assert sorted(map(str, other.collect())) == sorted(map(str, activity.collect()))

@@ -48,6 +48,17 @@ def hot_keys(fact: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     )
 
 
+def in_parts(fact: DataFrame, hot: DataFrame, key: str, spread: str) -> DataFrame:
+    """``fact`` with ``__part``, which deals the rows of each key that ``hot_keys`` gave over its parts,
+    by a hash of ``spread``, and those without a key over all."""
+    return fact.join(hot, F.expr(f"{key} = __hot_key"), "left").withColumn(
+        "__part",
+        F.expr(f"""case when {key} is null then pmod(xxhash64({spread}), {HOT_SHARE})
+                        when __parts is null then 0
+                        else pmod(xxhash64({spread}), __parts) end"""),
+    ).drop("__hot_key", "__parts")
+
+
 def lookup(
     fact: DataFrame,
     dim: DataFrame,
@@ -76,12 +87,7 @@ def lookup(
         return fact.join(dim, F.expr(f"{key} = __dim_key"), "left").selectExpr(*output)
 
     hot = F.broadcast(hot_keys(fact if keys_of is None else keys_of, key))
-    salted = fact.join(hot, F.expr(f"{key} = __hot_key"), "left").withColumn(
-        "__part",
-        F.expr(f"""case when {key} is null then pmod(xxhash64({spread}), {HOT_SHARE})
-                        when __parts is null then 0
-                        else pmod(xxhash64({spread}), __parts) end"""),
-    )
+    salted = in_parts(fact, hot, key, spread)
     repeated = dim.join(hot, F.expr("__dim_key = __hot_key"), "left").selectExpr(
         "__dim_key", *attributes,
         "explode(sequence(0L, coalesce(__parts, 1) - 1L)) as __dim_part",

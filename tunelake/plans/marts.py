@@ -11,13 +11,16 @@ Dimension keys are unique (the loads keep them so, and the data tests check it).
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.functions import measures as m
-from tunelake.operators.lookups import known_key, lookup
+from tunelake.operators.lookups import (
+    fits_broadcast, hot_keys, in_parts, known_key, lookup,
+)
 from tunelake.operators.ranking import top_per_group
 from tunelake.plans.enrich import catalog
 from tunelake.schemas import PLATFORMS, SUBSCRIPTION_TYPES
@@ -141,10 +144,12 @@ def top_tracks_daily(
 
 
 def genre_trends(
-    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame
+    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame,
+    keys_of: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per day and genre: volume, share of the day and rank. Streams without a genre are
-    left out before shares are taken. The rank window sees one row per genre and day."""
+    left out before shares are taken. The rank window sees one row per genre and day. For ``keys_of``
+    see ``enriched_events``."""
     songs = catalog(tracks, artists).select("track_id", "artist_id", "genre")
 
     per_track = events.groupBy("event_date", "track_id").agg(*_exprs(ADDITIVE))
@@ -163,7 +168,7 @@ def genre_trends(
     plays = events.select("event_date", "track_id", "user_id").distinct()
     audience = (
         lookup(plays, songs.select("track_id", "genre"), "track_id", spread="user_id",
-               keys_of=events)
+               keys_of=(keys_of or {}).get("track_id", events))
         .where("genre is not null").select("event_date", "genre", "user_id").distinct()
     )
     listeners = lookup(audience, users.select("user_id"), "user_id").selectExpr(
@@ -194,11 +199,16 @@ def _plays(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "track_id").agg(F.expr("count(*) as n"))
 
 
-def _used(events: DataFrame) -> DataFrame:
+#: What the reduction of a user's days, platforms and devices reads of an event.
+USED = ["user_id", "event_date", "platform", "device_type", "ms_played", "pct_played", "is_completed",
+        "is_skipped", "is_shuffle", "is_offline"]
+
+
+def _used(events: DataFrame, *place: str) -> DataFrame:
     """Rows of (user, kind, value) for the days, platforms and devices of a user, with measures for
-    the days."""
-    used = events.groupBy("user_id", "event_date", "platform", "device_type").agg(
-        *_exprs(ADDITIVE))
+    the days. Columns ``place`` are those that the events are dealt by, if they are."""
+    used = events.groupBy("user_id", *place, "event_date", "platform", "device_type").agg(
+        *_exprs(ADDITIVE)).drop(*place)
     sums, none = ", ".join(NAMES), ", ".join(f"cast(null as {t})" for _, t in used.dtypes[4:])
     return used.selectExpr(
         "user_id",
@@ -208,6 +218,12 @@ def _used(events: DataFrame) -> DataFrame:
     ).withColumnRenamed("streams", "n")
 
 
+def _dealt(rows: DataFrame, hot: DataFrame, spread: str) -> DataFrame:
+    """The rows of a user together, those of a hot user in parts, so that what is summed per user is
+    summed there and only sums go on."""
+    return in_parts(rows, hot, "user_id", spread).repartition("user_id", "__part")
+
+
 def user_values(events: DataFrame) -> DataFrame:
     """What ``user_activity`` needs of the events, in sums that can be added and subtracted: rows of
     (user, kind, value) for tracks, days, platforms and devices."""
@@ -226,16 +242,24 @@ def summed_values(*parts: DataFrame, keep_zero: bool = False) -> DataFrame:
 
 
 def user_activity(
-    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame
+    events: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame,
+    keys_of: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per user, with zeros for a user who never listened.
 
     The events are reduced twice: by the user's track, which then meets the catalog, and by the
     user's day, platform and device. Both become rows of (user, kind, value): what a user heard or
     used, and how often. These are summed once on all three, so that even the busiest user's rows
-    are spread over tasks, and arrive at the user as one row per value.
+    are spread over tasks, and arrive at the user as one row per value. With users too many to broadcast,
+    a task would see few rows of each; then they are dealt by user first, hot users in parts. For
+    ``keys_of`` see ``enriched_events``.
     """
-    return _activity(_plays(events), _used(events), tracks, artists, users, events)
+    keys_of = {"user_id": events, "track_id": events, **(keys_of or {})}
+    if fits_broadcast(users):
+        return _activity(_plays(events), _used(events), tracks, artists, users, keys_of["track_id"])
+    hot = F.broadcast(hot_keys(keys_of["user_id"], "user_id"))
+    used = _used(_dealt(events, hot, "event_id").select(*USED, "__part"), "__part")
+    return _activity(_plays(events), used, tracks, artists, users, keys_of["track_id"], hot)
 
 
 def activity_of(
@@ -248,10 +272,13 @@ def activity_of(
 
 def _activity(
     plays: DataFrame, used: DataFrame, tracks: DataFrame, artists: DataFrame, users: DataFrame,
-    keys_of: DataFrame,
+    keys_of: DataFrame, hot: DataFrame | None = None,
 ) -> DataFrame:
     songs = catalog(tracks, artists).select("track_id", "artist_id", "genre")
-    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=keys_of).selectExpr(
+    heard = lookup(plays, songs, "track_id", spread="user_id", keys_of=keys_of)
+    if hot is not None:
+        heard = _dealt(heard, hot, "track_id")
+    heard = heard.selectExpr(
         "user_id",
         "stack(2, 'genre', genre, n, 0L, 'artist', cast(artist_id as string), 0L, "
         "cast(track_id is not null as bigint)) as (kind, value, n, tracks)",
