@@ -102,12 +102,18 @@ def enriched(
                            staged["stg_artists"], staged["stg_users"], keys_of)
 
 
-def build(store: Store, parallel: int = 4) -> DataFrame:
+def build(store: Store, parallel: int = 4, values: DataFrame | None = None) -> DataFrame:
     """Rebuild the mart tables from the raw tables, and enter all models in the session catalog:
     staged models and enriched events as views, the rest as tables. The marts are submitted side
     by side, so that one's last tasks do not leave the cluster idle. Returns the marts' tests of nulls,
-    values and ranges, which the writes themselves made."""
-    models = {name: watched(name, df) for name, df in build_marts(staged_models(store)).items()}
+    values and ranges, which the writes themselves made. With stored ``values`` of the same events (see
+    ``marts.user_values``), ``user_activity`` is made of these and doesn't read the events."""
+    staged = staged_models(store)
+    built = build_marts(staged, MARTS if values is None else DAY_MARTS)
+    if values is not None:
+        built["user_activity"] = marts.activity_of(
+            values, staged["stg_tracks"], staged["stg_artists"], staged["stg_users"])
+    models = {name: watched(name, df) for name, df in built.items()}
     with ThreadPoolExecutor(parallel) as pool:
         writes = [pool.submit(store.replace, "marts", name, model.df)
                   for name, model in models.items()]
@@ -135,6 +141,11 @@ def build_values(store: Store) -> None:
     store.drop("marts", UNFINISHED)
 
 
+def _begin(store: Store) -> None:
+    """Mark that the marts and the sums may be out of step until the refresh is through."""
+    store.replace("marts", UNFINISHED, store.spark.createDataFrame([(True,)], "begun boolean"))
+
+
 def refresh(
     store: Store, batch: DataFrame, latest_by: str | None = None, day_in_key: bool = False
 ) -> set:
@@ -150,15 +161,18 @@ def refresh(
     store.create_raw_tables()
     merge = store.plan_merge(batch, latest_by, day_in_key)
     if not store.exists("marts", USER_VALUES) or store.exists("marts", UNFINISHED):
+        _begin(store)
         store.apply_merge(merge)
-        build(store)
-        build_values(store)
+        events = staged_models(store)["stg_stream_events"]
+        store.replace("marts", USER_VALUES, marts.user_values(events))
+        build(store, values=store.read("marts", USER_VALUES))
+        store.drop("marts", UNFINISHED)
         return merge.touched
     if not merge.days:
         return set()
     spark, days = store.spark, merge.touched
     negated = [f"-{c} as {c}" for c in marts.VALUES]
-    store.replace("marts", UNFINISHED, spark.createDataFrame([(True,)], "begun boolean"))
+    _begin(store)
     old = marts.user_values(_touched(store, days)["stg_stream_events"]).selectExpr(
         "user_id", "kind", "value", *negated)
     path = scratch_path(spark, "old-values")
@@ -166,13 +180,21 @@ def refresh(
     store.apply_merge(merge)
     staged = _touched(store, days)
     new = marts.user_values(staged["stg_stream_events"])
-    store.append("marts", USER_VALUES, marts.summed_values(
-        spark.read.schema(old.schema).parquet(path), new, keep_zero=True))
-    for name, df in build_marts(staged, DAY_MARTS).items():
-        store.replace_days(name, days, df)
-    values = marts.summed_values(store.read("marts", USER_VALUES))
-    store.replace("marts", "user_activity", marts.activity_of(
-        values, staged["stg_tracks"], staged["stg_artists"], staged["stg_users"]))
+    changes = marts.summed_values(spark.read.schema(old.schema).parquet(path), new, keep_zero=True)
+
+    def of_users() -> None:
+        store.append("marts", USER_VALUES, changes)
+        values = marts.summed_values(store.read("marts", USER_VALUES))
+        store.replace("marts", "user_activity", marts.activity_of(
+            values, staged["stg_tracks"], staged["stg_artists"], staged["stg_users"]))
+
+    # Side by side, as in a build: each writes tables of its own.
+    with ThreadPoolExecutor(len(MARTS)) as pool:
+        writes = [pool.submit(of_users), *(
+            pool.submit(store.replace_days, name, days, df)
+            for name, df in build_marts(staged, DAY_MARTS).items())]
+        for write in writes:
+            write.result()
     store.drop("marts", UNFINISHED)
     publish(store, list(MARTS))
     return days
