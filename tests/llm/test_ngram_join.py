@@ -115,3 +115,45 @@ def test_long_chain_is_one_set(spark):
         [(i, i + 1) for i in range(0, 200)] + [(500, 400), (400, 450)], "a long, b long")
     found = {r.text_id: r.root for r in ngram_join.connected(links).collect()}
     assert found == {i: 0 for i in range(201)} | {400: 400, 450: 400, 500: 400}
+
+
+def rows_moved(df):
+    """The rows that each shuffle of ``df`` writes, once it has run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        below = node.children()
+        todo += [below.apply(i) for i in range(below.size())]
+    return found
+
+
+def test_only_texts_that_share_a_bucket_move(spark, tmp_path, monkeypatch, no_broadcast):
+    """Of 400 texts 4 are copies and 4 near copies: the others' signatures and paths stay where
+    they are, also if no table is small enough to broadcast."""
+    texts = [edge_data.prose(60, 2000 + i) for i in range(400)]
+    texts += texts[:4] + [t + " more" for t in texts[10:14]]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    moved, plain = {}, ngram_join.stored
+
+    def stored(df, label):
+        if label in ("texts", "shared", "candidates", "links"):
+            moved.setdefault(label, []).append(max(rows_moved(df), default=0))
+        return plain(df, label)
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    table = spark.read.parquet(path)
+    found = ngram_join.near_duplicates(table).collect()
+    got = sorted((r["__id"], r.class_id, r.class_size, r.n_links) for r in found)
+    assert got == expected(table.collect())
+    assert sum(r.n_links for r in found) == 16
+    # 8 texts have a bucket in common with another one, in 16 trees at most.
+    assert moved and max(n for rows in moved.values() for n in rows) <= 8 * 16 + 8, moved

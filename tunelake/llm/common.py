@@ -68,14 +68,14 @@ def _bit(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(MAP_BITS)) + 1
 
 
-def among(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``texts`` with ``__maybe``: false only if ``__row`` isn't among ``rows``. The map that is
-    sent to all tasks has MAP_BITS bits, whatever the size of the tables."""
-    bits = rows.select(_bit("__row").alias("b")).groupBy(
+def among(texts: DataFrame, rows: DataFrame, key: str = "__row") -> DataFrame:
+    """``texts`` with ``__maybe``: false only if its ``key`` isn't among those of ``rows``. The map
+    that is sent to all tasks has MAP_BITS bits, whatever the size of the tables."""
+    bits = rows.select(_bit(key).alias("b")).groupBy(
         F.expr("bitmap_bucket_number(b)").alias("__bucket")
     ).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("__map"))
     byte = F.conv(F.hex(F.substring("__map", F.expr("int(__at div 8) + 1"), F.lit(1))), 16, 10)
-    return texts.withColumn("__b", _bit("__row")).withColumns({
+    return texts.withColumn("__b", _bit(key)).withColumns({
         "__bucket": F.expr("bitmap_bucket_number(__b)"),
         "__at": F.expr("bitmap_bit_position(__b)"),
     }).join(F.broadcast(bits), "__bucket", "left").withColumn("__byte", byte.cast("int")).withColumn(
@@ -83,6 +83,12 @@ def among(texts: DataFrame, rows: DataFrame) -> DataFrame:
     ).drop("__b", "__bucket", "__at", "__map", "__byte")
 
 
+def narrowed(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows of ``table`` whose ``key`` may be among those of ``rows``: all that are, and a few
+    others. An exact join with ``rows`` then moves about as many rows as it returns."""
+    return among(table, rows, key).where("__maybe").drop("__maybe")
+
+
 def filled(name: str) -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.llm.common import (
-    among, batches_of, filled, fresh, numbered, small_batches, spent, stored, without_rows,
+    among, batches_of, filled, fresh, narrowed, numbered, small_batches, spent, stored,
+    without_rows,
 )
 
 WORDS, THRESHOLD = 5, 0.8
@@ -195,21 +196,34 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                                            batch.column(1).to_pylist()], pa.binary()),
             ], ["text_id", "set"])
 
-    near = among(texts.select("__row", "__text"),
-                 wanted.withColumnRenamed("text_id", "__row")).where("__maybe")
-    return near.withColumnRenamed("__row", "text_id").join(wanted, "text_id").select(
+    near = narrowed(texts.select(F.col("__row").alias("text_id"), "__text"), wanted, "text_id")
+    return near.join(wanted, "text_id").select(
         "text_id", "__text").mapInArrow(read, "text_id long, set binary")
 
 
-def _blocked(members: DataFrame, sizes: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Each member of a group once for each pair of blocks that its block is in: ``bi`` <= ``bj``.
-    Groups of up to ``block`` members are one block. Members go to blocks by hash."""
+def _firsts(signed: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
+    """``text_id`` and ``sig`` of the first row of each class. Only rows that may be copies move."""
+    copies = stored(places.join(classes.where("copies > 1").select("same", "text_id"), "same").where(
+        "__row <> text_id").select("__row"), "copies")
+    marked = among(signed.select("__row", "sig"), copies)
+    texts = stored(
+        marked.where("NOT __maybe").unionByName(
+            marked.where("__maybe").join(copies, "__row", "left_anti")
+        ).select(F.col("__row").alias("text_id"), "sig"), "texts")
+    spent(copies)
+    return texts
+
+
+def _blocked(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Each member of a group of ``size`` once for each pair of blocks that its block is in:
+    ``bi`` <= ``bj``. Groups of up to ``block`` members are one block. Members go to blocks by
+    hash."""
     n = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("text_id", F.lit(3)), F.col("blocks")).cast("int")
-    return members.join(sizes, keys).withColumn("blocks", n).withColumn("mine", mine).select(
-        *members.columns, "mine",
+    return members.withColumn("blocks", n).withColumn("mine", mine).select(
+        *keys, "text_id", "mine",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(*members.columns, "mine", F.least("mine", "other").alias("bi"),
+    ).select(*keys, "text_id", "mine", F.least("mine", "other").alias("bi"),
              F.greatest("mine", "other").alias("bj"))
 
 
@@ -224,9 +238,11 @@ def _candidates(signed: DataFrame, depth: int, before: int | None, threshold: fl
     keys = ["tree", "bucket"]
     # Stored, so that the join with it has a plain exchange on either side and can split a large group.
     sizes = stored(paths.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    members = _blocked(paths, sizes, keys, block)
-    # Only texts that share a bucket with another one bring their signatures along.
-    members = members.join(signed.select("text_id", "sig"), "text_id")
+    # Only paths that another text has too are moved to their buckets, and only texts that share a
+    # bucket bring their signatures along.
+    shared = stored(narrowed(paths, sizes, "bucket").join(sizes, keys), "shared")
+    spent(sizes)
+    members = _blocked(shared, keys, block).join(narrowed(signed, shared, "text_id"), "text_id")
 
     def compare(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
         tree, bucket, bi, bj = key
@@ -258,16 +274,19 @@ def _candidates(signed: DataFrame, depth: int, before: int | None, threshold: fl
         _grouped(compare, keys),
         "tree long, bucket long, bi long, bj long, part long, mine long, text_id long"),
         "candidates")
-    spent(sizes)
+    spent(shared)
     return found
 
 
-def _verified(found: DataFrame, signed: DataFrame, sets: DataFrame, depth: int, before: int | None,
-              threshold: float, trees: int, steps: int) -> DataFrame:
+def _verified(found: DataFrame, signed: DataFrame, sets: DataFrame, classes: DataFrame, depth: int,
+              before: int | None, threshold: float, trees: int, steps: int) -> DataFrame:
     """Links of a round, without a row per pair: kind 0 rows count the links (``n``, weighted with
     the copies of the linked texts) of ``a``; kind 1 rows are links a - b that connect; kind 2 rows
     have the number of links ``n`` at a similarity of ``b`` per mille."""
-    rows = found.join(signed.join(sets, "text_id"), "text_id")
+    repeated = classes.where("copies > 1").select("text_id", "copies")
+    texts = narrowed(signed, sets, "text_id").join(sets, "text_id").join(
+        repeated, "text_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    rows = found.join(texts, "text_id")
     keys = ["tree", "bucket", "bi", "bj", "part"]
 
     def verify(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -384,17 +403,15 @@ def near_duplicates(
     classes = stored(places.groupBy("same").agg(
         F.min("__row").alias("text_id"), F.count("*").alias("copies"),
         F.min("__id").alias("text_class")), "classes")
-    texts = stored(
-        signed.join(classes.select(F.col("text_id").alias("__row"), "copies"), "__row").select(
-            F.col("__row").alias("text_id"), "sig", "copies"), "texts")
+    texts = _firsts(signed, places, classes)
     spent(signed)
 
     results, before = None, None
     for level in range(depth, 0, -2):
         found = _candidates(texts, level, before, threshold, trees, steps, block)
         sets = stored(_sets(rows, found.select("text_id").distinct(), n), "sets")
-        links = stored(_verified(found, texts, sets, level, before, threshold, trees, steps),
-                       "links")
+        links = stored(_verified(found, texts, sets, classes, level, before, threshold, trees,
+                                 steps), "links")
         spent(found, sets)
         results = links if results is None else results.unionByName(links)
         before = level
