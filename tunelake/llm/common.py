@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,12 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: its lineage ends there, so a lost
-    executor costs a reread and not the work before."""
+def stored(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once to the shared folder, in a folder for each value of ``by``, and read back:
+    its lineage ends there, so a lost executor costs a reread and not the work before."""
     path = scratch_path(df.sparkSession, label)
     # Unlike the default codec, zstd leaves no buffers outside the heap behind, file by file.
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
